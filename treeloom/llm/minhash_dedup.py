@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from treeloom.llm.common import PACKED, Workspace, components, join_by_key, mix, pack_hashes, repeat_filter
 
 WORDS, COORDINATES = 5, 48
+#: Smallest shingle hashes kept to estimate a similarity, and members of a posting list compared at once.
+BOTTOM, BLOCK = 256, 512
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SEED = np.random.default_rng(20240229)
-_A = (_SEED.integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _SEED.integers(0, 1 << 63, 256, dtype=np.uint64)
+_A = _SEED.integers(1, 1 << 31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _SEED.integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def least_collisions(percent: int, coordinates: int = COORDINATES) -> int:
@@ -77,8 +79,9 @@ class Shingler:
 def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     low = np.full(coordinates, 0xFFFFFFFF, np.uint32)
     a, b = _A[:coordinates, None], _B[:coordinates, None]
-    for i in range(0, len(shingles), 4096):
-        low = np.minimum(low, ((a * shingles[None, i : i + 4096] + b) >> np.uint64(32)).astype(np.uint32).min(1))
+    x = (shingles >> np.uint64(17)).astype(np.uint32)
+    for i in range(0, len(x), 4096):
+        low = np.minimum(low, (a * x[None, i : i + 4096] + b).min(1))
     return low
 
 
@@ -87,17 +90,18 @@ def _tokens(sig: np.ndarray) -> np.ndarray:
     return mix((np.arange(len(sig), dtype=np.uint64) << np.uint64(32)) | sig.astype(np.uint64))
 
 
-def _sketch(words: int, coordinates: int):
+def _sketch(words: int, coordinates: int, bottom: int):
     def run(batches):
         shingles = Shingler(words)
         for batch in batches:
-            n, keys, sigs = [], [], []
+            n, keys, sigs, sketches = [], [], [], []
             for t in batch["text"]:
                 s = shingles(t.as_py())
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sigs.append(signature(s, coordinates).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n", "key", "sig"])
+                sketches.append((s[:bottom] >> np.uint64(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "n", "key", "sig", "sketch"])
 
     return run
 
@@ -149,12 +153,105 @@ def _sets(shared, words: int):
     return run
 
 
-def _collisions(least: int):
+def alike(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int, bottom: int, least: int) -> bool:
+    """Whether sets of nx and ny shingles may be similar enough, from the smallest hashes of both."""
+    if 100 * min(nx, ny) < percent * max(nx, ny):
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    twice = both[1:] == both[:-1]
+    if nx <= bottom and ny <= bottom:
+        n = int(twice.sum())
+        return 100 * n >= percent * (nx + ny - n)
+    # of the ``bottom`` smallest of the union, those in both
+    at = np.flatnonzero(np.concatenate([[True], ~twice]))[:bottom]
+    return int(twice[at[at < len(twice)]].sum()) >= least * min(1.0, len(at) / bottom)
+
+
+def _collisions(least: int, percent: int, bottom: int):
+    """Pairs that collide in ``least`` coordinates and whose smallest hashes agree often enough."""
+    enough = least_collisions(percent, bottom)
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.stack([np.frombuffer(s.as_py(), np.uint32) for s in batch[c]]) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+                ok = (x == y).sum(1) >= least
+                for i in np.flatnonzero(ok):
+                    p, q = (np.frombuffer(batch[c][int(i)].as_py(), np.uint32) for c in ("sketch_a", "sketch_b"))
+                    ok[i] = alike(p, q, batch["n_a"][int(i)].as_py(), batch["n_b"][int(i)].as_py(), percent, bottom, enough)
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+_BLOCKS = "token long, first long, reps binary, cs binary, ns binary, sigs binary, sketches array<binary>, lists array<binary>"
+
+
+def _pack_lists(block: int):
+    """Packs the sorted members of posting lists into blocks of at most ``block``."""
+
+    def run(batches):
+        token, held, done = None, [], []
+
+        def close():
+            reps, cs, ns, sigs, sketches, lists = zip(*held)
+            done.append((token, min(reps), *(np.array(x, np.int64).tobytes() for x in (reps, cs, ns)), b"".join(sigs), list(sketches), list(lists)))
+
+        def out():
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+            rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=["token", "first", "reps", "cs", "ns", "sigs", "sketches", "lists"])
+            done.clear()
+            return rows
+
+        for batch in batches:
+            for t, *row in zip(*(batch[c].to_pylist() for c in ("token", "rep", "c", "shingles", "sig", "sketch", "list"))):
+                if held and (t != token or len(held) >= block):
+                    close()
+                    held = []
+                    if len(done) >= 64:
+                        yield out()
+                token = t
+                held.append(row)
+        if held:
+            close()
+        if done:
+            yield out()
+
+    return run
+
+
+def _meet(least: int, percent: int, bottom: int):
+    """Pairs of entries of different components in two blocks of a list that collide often enough.
+
+    A pair is given under the smallest prefix token of both, so once.
+    """
+    enough = least_collisions(percent, bottom)
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                g = lambda c, i=i: batch[c][i].as_py()
+                a, b, ca, cb, na, nb = (np.frombuffer(g(x), np.int64) for x in ("reps", "reps_b", "cs", "cs_b", "ns", "ns_b"))
+                x, y = (np.frombuffer(g(c), np.uint32).astype(np.uint8).reshape(n, -1) for c, n in (("sigs", len(a)), ("sigs_b", len(b))))
+                differ = ca[:, None] != cb[None, :]
+                if g("first") == g("first_b"):
+                    differ &= a[:, None] < b[None, :]
+                if not differ.any():
+                    continue
+                same = np.zeros(differ.shape, np.uint8)
+                for k in range(x.shape[1]):
+                    same += x[:, k][:, None] == y[:, k][None, :]
+                u, v = np.nonzero(differ & (same >= least))
+                if not len(u):
+                    continue
+                token, la, lb = g("token"), g("lists"), g("lists_b")
+                sa, sb = ([set(np.frombuffer(z, np.int64).tolist()) for z in q] for q in (la, lb))
+                ka, kb = ([np.frombuffer(z, np.uint32) for z in g(q)] for q in ("sketches", "sketches_b"))
+                own = [k for k, (i, j) in enumerate(zip(u.tolist(), v.tolist())) if min(sa[i] & sb[j]) == token and alike(ka[i], kb[j], int(na[i]), int(nb[j]), percent, bottom, enough)]
+                found.append((np.minimum(a[u[own]], b[v[own]]), np.maximum(a[u[own]], b[v[own]])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -172,17 +269,26 @@ def _confirm(percent: int):
     return run
 
 
+def _as_bytes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch["rep"], batch["shingles"], batch["sig"], batch["sketch"], pa.array([np.array(x, np.int64).tobytes() for x in batch["list"].to_pylist()], pa.binary())], names=["rep", "shingles", "sig", "sketch", "list"])
+
+
 class _Links:
     """Confirms candidate pairs of entries."""
 
-    def __init__(self, ws, docs, reps, percent: int, least: int, words: int):
-        self.ws, self.docs, self.reps, self.percent, self.least, self.words = ws, docs, reps, percent, least, words
+    def __init__(self, ws, docs, reps, percent: int, least: int, words: int, bottom: int):
+        self.ws, self.docs, self.reps, self.percent, self.least, self.words, self.bottom = ws, docs, reps, percent, least, words, bottom
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link, as a written table."""
-        ws, sig = self.ws, self.reps.select("rep", "sig")
-        pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-        pairs = ws.save(pairs.mapInArrow(_collisions(self.least), "a long, b long").distinct(), "colliding")
+        """Those of the pairs (a, b) that collide often enough and link, as a written table."""
+        ws = self.ws
+        for x in "ab":
+            pairs = pairs.join(self.reps.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "sketch"))), x)
+        return self.confirmed(ws.save(pairs.mapInArrow(_collisions(self.least, self.percent, self.bottom), "a long, b long"), "colliding"))
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        ws = self.ws
         ids = ws.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().mapInArrow(_pack_ids, PACKED), "wanted")
         shared = self.docs.sparkSession.sparkContext.broadcast(repeat_filter(ws, ids))
         sets = self.docs.where("id IS NOT NULL").mapInArrow(_sets(shared, self.words), "id long, set binary")
@@ -193,23 +299,24 @@ class _Links:
         return found
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, coordinates: int = COORDINATES) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, coordinates: int = COORDINATES, bottom: int = BOTTOM, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row, linked at 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
     least = least_collisions(percent, coordinates)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = ws.save(d.mapInArrow(_sketch(words, coordinates), "id long, n long, key binary, sig binary"), "sketches")
-    reps = ws.save(sketches.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"), F.count("*").alias("rows")), "entries")
+    sketches = ws.save(d.mapInArrow(_sketch(words, coordinates, bottom), "id long, n long, key binary, sig binary, sketch binary"), "sketches")
+    reps = ws.save(sketches.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch"), F.count("*").alias("rows")), "entries")
     packed = ws.save(reps.select("sig").mapInArrow(_pack, PACKED), "tokens")
     shared = spark.sparkContext.broadcast(repeat_filter(ws, packed))
     ws.drop(packed)
     postings = ws.save(reps.select("rep", "sig").mapInArrow(_post(shared, least), "token long, rep long"), "postings")
     often = ws.save(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
     ranked = join_by_key(postings, often, "token", "df").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most ``coordinates`` for each
-    prefix = ranked.where(F.size("t") >= least).select("rep", F.explode(F.expr(f"slice(t, 1, size(t) - {least} + 1)")).alias("t"))
-    prefix = ws.save(prefix.select("rep", F.col("t.token").alias("token")), "prefixes")
-    confirm = _Links(ws, d, reps, percent, least, words)
+    lists = ranked.where(F.size("t") >= least).select("rep", F.expr(f"slice(transform(t, x -> x.token), 1, size(t) - {least} + 1)").alias("list"))
+    lists = ws.save(lists, "prefixes")
+    prefix = lists.select("rep", F.explode("list").alias("token"))
+    confirm = _Links(ws, d, reps, percent, least, words, bottom)
     # every entry of a posting list meets the smallest entry of the list
     heads = ws.save(prefix.groupBy("token").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
     links = confirm(join_by_key(prefix, heads, "token", "n").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
@@ -219,10 +326,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     placed = prefix.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("c"))
     placed = ws.save(placed, "placed")
     split = ws.save(placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high"), "split")
-    rest = ws.save(join_by_key(placed, split.select("token", "n"), "token", "n").select("token", "rep", "c"), "rest")
-    left, right = rest.select("token", F.col("rep").alias("a"), F.col("c").alias("ca")), rest.select("token", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    met = left.join(right, "token").where("ca < cb").select("a", "b").distinct()
-    more = confirm(met)
+    rest = ws.save(join_by_key(placed, split.select("token", "n"), "token", "n").select("token", "rep", "c", "n"), "rest")
+    members = lists.join(reps.select("rep", F.col("n").alias("shingles"), "sig", "sketch"), "rep").mapInArrow(_as_bytes, "rep long, shingles long, sig binary, sketch binary, list binary")
+    dealt = rest.join(members, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.lit(block))))
+
+    def packed(rows):
+        rows = rows.select("token", "salt", "rep", "c", "shingles", "sig", "sketch", "list").repartition("token", "salt")
+        return rows.sortWithinPartitions("token", "salt", "rep").mapInArrow(_pack_lists(block), _BLOCKS)
+
+    sides = ("first", "reps", "cs", "ns", "sigs", "sketches", "lists")
+    alone = packed(dealt.where(F.col("n") <= block)).select("*", *(F.col(c).alias(c + "_b") for c in sides))
+    full = ws.save(packed(dealt.where(F.col("n") > block)), "blocks")
+    pairs = full.join(full.select("token", *(F.col(c).alias(c + "_b") for c in sides)), "token").where("first <= first_b")
+    met = alone.mapInArrow(_meet(least, percent, bottom), "a long, b long").unionByName(pairs.mapInArrow(_meet(least, percent, bottom), "a long, b long"))
+    more = confirm.confirmed(ws.save(met, "met"))
     if more.limit(1).count():
         edges = edges.union(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         groups = ws.save(components(ws, edges), "groups")
