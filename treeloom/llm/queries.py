@@ -8,9 +8,9 @@ _MODULES = {
     "op1_license_scan": ("licenses", "OP1_SQL"),
     "op2_line_dedup": ("line_dedup", "OP2_SQL"),
     "op3_language_id": ("language_id", None),
-    # "op4_lm_scoring": ("lm_scoring", "OP4_SQL"),
+    "op4_lm_scoring": ("lm_scoring", "OP4_SQL"),
     "op5_byte_bpe": ("bpe", None),
-    # "op6_suffix_dedup": ("suffix_dedup", None),
+    "op6_suffix_dedup": ("suffix_dedup", None),
     "op7_mix_sources": ("mixing", "OP7_SQL"),
     "op8_embedding_dedup": ("embedding_dedup", "OP8_SQL"),
     "op9_minhash_dedup": ("minhash_dedup", "OP9_SQL"),
