@@ -24,6 +24,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,29 @@ from treeloom.llm.common import Workspace, mix
 
 ORDER, ALPHA, BLOCK_WORDS = 2, 0.4, 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
+_KEY = np.uint64((1 << 48) - 1)
 _BLOCKS = "block long, n long, ids array<long>, lengths binary, words binary, codes binary"
 
 
+def _press(a: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 3)
+
+
+def _unpress(b: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), dtype)
+
+
+def _keys(hashes: np.ndarray, buckets: int) -> bytes:
+    """Six bytes of each hash, which with the bucket (its remainder) stand for it: 54 bits at least, more the more buckets."""
+    return ((hashes // np.uint64(buckets)) & _KEY).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unkeys(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _code(block_words: int):
     """Blocks of documents: lengths in words, hashes of distinct words, a code for each word."""
 
@@ -42,7 +63,7 @@ def _code(block_words: int):
 
         def out():
             words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
-            row = (uuid.uuid4().int >> 65, len(codes), list(ids), np.array(lengths, np.int32).tobytes(), words.tobytes(), np.array(codes, np.int32).tobytes())
+            row = (uuid.uuid4().int >> 65, len(codes), list(ids), np.array(lengths, np.int32).tobytes(), words.tobytes(), _press(np.array(codes, np.int32)))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
             for x in (ids, lengths, codes, known):
                 x.clear()
@@ -80,7 +101,7 @@ def grams(lengths: np.ndarray, words: np.ndarray, codes: np.ndarray, order: int)
 
 
 def _unpacked(row):
-    return np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["words"], np.uint64), np.frombuffer(row["codes"], np.int32).astype(np.int64)
+    return np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["words"], np.uint64), _unpress(row["codes"], np.int32).astype(np.int64)
 
 
 def _split(hashes: np.ndarray, buckets: int):
@@ -97,7 +118,7 @@ def _send(order: int, buckets: int):
             for row in batch.to_pylist():
                 out = []
                 for n, (_, hashes, counts) in enumerate(grams(*_unpacked(row), order), 1):
-                    out += [(b, n, row["block"], hashes[i].tobytes(), counts[i].astype(np.uint32).tobytes()) for b, i in _split(hashes, buckets)]
+                    out += [(b, n, row["block"], _keys(hashes[i], buckets), _press(counts[i].astype(np.uint32))) for b, i in _split(hashes, buckets)]
                 if out:
                     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["bucket", "n", "block", "hashes", "counts"])
@@ -114,7 +135,7 @@ def _totals(batches):
         _, inverse = np.unique(np.concatenate([h for _, h, _ in held]), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([c for _, _, c in held])).astype(np.int64)[inverse]
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        rows = [(now[0], now[1], b, t.tobytes()) for (b, _, _), t in zip(held, np.split(total, cut))]
+        rows = [(now[0], now[1], b, _press(t)) for (b, _, _), t in zip(held, np.split(total, cut))]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "n", "block", "totals"])
 
     for batch in batches:
@@ -123,7 +144,7 @@ def _totals(batches):
                 yield out()
                 held = []
             now = (b, n)
-            held.append((block, np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32)))
+            held.append((block, _unkeys(h), _unpress(c, np.uint32)))
     if held:
         yield out()
 
@@ -134,7 +155,7 @@ def _score(order: int, alpha: float, buckets: int, words_total: int):
             for row in batch.to_pylist():
                 lengths, words, codes = _unpacked(row)
                 docs = np.repeat(np.arange(len(lengths)), lengths)
-                answers = {(a["n"], a["bucket"]): np.frombuffer(a["totals"], np.int64) for a in row["answers"] or ()}
+                answers = {(a["n"], a["bucket"]): _unpress(a["totals"], np.int64) for a in row["answers"] or ()}
                 others = []  # for n: counts in other documents of the n-gram that begins at a place
                 for n, (at, hashes, _) in enumerate(grams(lengths, words, codes, order), 1):
                     total = np.zeros(len(hashes), np.int64)
