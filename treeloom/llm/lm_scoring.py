@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from treeloom.llm.common import Workspace, mix
 
-ORDER, ALPHA, BLOCK_WORDS = 2, 0.4, 400_000
+ORDER, ALPHA, BLOCK_WORDS = 2, 0.4, 1_200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _KEY = np.uint64((1 << 48) - 1)
 _BLOCKS = "block long, n long, ids array<long>, lengths binary, words binary, codes binary"
