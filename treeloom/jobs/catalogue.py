@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ()
+MODULES = ("texts", "vectors", "activity")
 
 
 def queries() -> dict:
