@@ -42,7 +42,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source's target share; a document that is taken twice is two rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return mixing.mixed_documents(mixing.quality_weights(docs, labels), weight_col="_quality")
+    return mixing.mixed_documents(docs, weights=mixing.quality_weights(labels))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from treeloom.llm.common import Workspace
 
 MAX_EPOCHS = 3
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def n_words(text):
@@ -52,19 +52,23 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return w.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, tie, size, source_size, target, taken, copies): one row for each row of ``docs``, without the text.
 
+    ``weights`` has one row (doc_id, weight) for each document whose quality weight isn't 1.
     ``tie`` tells rows with one doc_id apart; ``copies`` is how often the mix takes the document.
     """
     ws = Workspace(docs.sparkSession, "mixing")
     text = F.col(text_col)
     tie = F.xxhash64(text)
-    weight = F.lit(1.0) if weight_col is None else F.when(F.col(weight_col) > 0, F.col(weight_col)).otherwise(1.0)
     # u in (0, 1) from 13 hexadecimal digits, the same on any engine
     digits = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit("")))).cast("binary")), 1, 13), 16, 10).cast("double")
     u = (digits + 0.5) / F.lit(float(1 << 52))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), tie.alias("tie"), n_words(text).alias("size"), (-F.log(u) / weight).alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), tie.alias("tie"), n_words(text).alias("size"), (-F.log(u)).alias("key"))
+    if weights is not None:  # joined to sizes, so that texts aren't shuffled
+        rows = ws.save(rows, "words")
+        w = weights.select(F.col("doc_id").alias("_w"), F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).alias("weight"))
+        rows = rows.join(w, F.col("doc_id") == F.col("_w"), "left").withColumn("key", F.col("key") / F.coalesce("weight", F.lit(1.0))).drop("_w", "weight")
     rows = ws.save(rows, "sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = ws.save(source_targets(per, max_epochs).join(per.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
@@ -86,16 +90,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return r.withColumn("copies", copies.cast("long")).select("doc_id", "tie", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with a column ``_quality``: 2 where labels say quality 1, else 1."""
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, F.col("doc_id") == F.col("_good"), "left").withColumn("_quality", F.when(F.col("_good").isNotNull(), 2.0).otherwise(1.0)).drop("_good")
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight): 2 for documents that labels give quality 1."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(2.0).alias("weight")).distinct()
 
 
-def mixed_documents(docs: DataFrame, weight_col: str | None = None, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, **options) -> DataFrame:
     """The documents that the mix takes, each as often as it does; columns stay as they are."""
     ws = Workspace(docs.sparkSession, "mixed")
-    picks = mix(docs, weight_col=weight_col, **options).where("copies > 0")
+    picks = mix(docs, weights=weights, **options).where("copies > 0")
     # rows with one doc_id and one text are drawn one by one: number them on both sides
     same = ["doc_id", "tie"]
     picks = picks.groupBy(*same).agg(F.sum("copies").alias("copies")).select(F.col("doc_id").alias("_i"), F.col("tie").alias("_t"), "copies")
@@ -107,13 +110,13 @@ def mixed_documents(docs: DataFrame, weight_col: str | None = None, **options) -
     nth = F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy(F.lit(0)))
     many = out.where("_rows > 1").withColumn("_nth", nth).withColumn("_n", F.floor(F.col("copies") / F.col("_rows")) + (F.col("_nth") <= F.col("copies") % F.col("_rows")).cast("long")).drop("_nth")
     taken = once.unionByName(many).where("_n > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))))
-    return taken.select(*(F.col(f"`{c}`") for c in docs.columns if c != weight_col))
+    return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return mix(quality_weights(docs, labels), weight_col="_quality").select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, weights=quality_weights(labels)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP7_SQL = r"""
