@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "vectors", "activity")
+MODULES = ("texts", "vectors", "activity", "streams", "trees")
 
 
 def queries() -> dict:

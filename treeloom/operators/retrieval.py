@@ -49,3 +49,26 @@ def beam(queries: DataFrame, layers: list[DataFrame], edges: DataFrame, k: int)
         found = hits if found is None else found.unionByName(hits)
         reach = hits.join(edges, F.col("node_id") == F.col("parent_id")).select("query_id", F.col("child_id").alias("node_id")).distinct()
     return found
+
+
+def ends_early(hits: DataFrame, budget: int, sure: float = 0.8) -> DataFrame:
+    """(query_id, rank, node_id, upto) of hits (query_id, rank, node_id, distance, n_tokens, far) that a reader takes.
+
+    ``far`` is the query's largest distance to any node; a hit's confidence is 1 minus its
+    distance's part of that. A hit that would pass the budget ends the list if it is the
+    first, or if the mean confidence of those before it is over ``sure``; else it is taken
+    too. A query's hits are its k nearest, so the array folded is bounded by k.
+    """
+    near = F.array_sort(F.collect_list(F.struct("rank", "node_id", F.col("n_tokens").cast("long").alias("n_tokens"), (1 - F.when(F.col("far") > 0, F.col("distance") / F.col("far")).otherwise(0.0)).alias("sure"))))
+    kind = "struct<upto:bigint,sure:double,over:boolean,taken:array<struct<rank:int,node_id:bigint,upto:bigint>>>"
+    start = F.expr(f"cast(struct(0, 0.0, false, array()) as {kind})")
+
+    def step(a, h):
+        upto, n = a["upto"] + h["n_tokens"], F.size(a["taken"])
+        ends = a["over"] | ((upto > budget) & ((n == 0) | (a["sure"] / F.greatest(n, F.lit(1)) > sure)))
+        taken = F.concat(a["taken"], F.array(F.struct(h["rank"].alias("rank"), h["node_id"].alias("node_id"), upto.alias("upto"))))
+        more = F.struct(upto.alias("upto"), (a["sure"] + h["sure"]).alias("sure"), F.lit(False).alias("over"), taken.alias("taken")).cast(kind)
+        return F.when(ends, F.struct(a["upto"].alias("upto"), a["sure"].alias("sure"), F.lit(True).alias("over"), a["taken"].alias("taken")).cast(kind)).otherwise(more)
+
+    rows = hits.groupBy("query_id").agg(near.alias("h")).select("query_id", F.explode(F.aggregate("h", start, step, lambda a: a["taken"])).alias("t"))
+    return rows.select("query_id", "t.rank", "t.node_id", "t.upto")
