@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "vectors", "activity", "streams", "trees")
+MODULES = ("texts", "vectors", "activity", "streams", "trees", "building")
 
 
 def queries() -> dict:

@@ -19,9 +19,23 @@ def stream_sessions(spark, sf):
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (stream_windows, stream_sessions)}
+def stream_tool_calls(spark, sf):
+    """Pieces of calls (here a user's events of a day) put together, as a stream; the arguments as a digest."""
+    e = W.read(spark, sf, "events").select(F.col("user_id").alias("call"), F.col("event_id").alias("seq"), F.col("event_type").alias("name"), F.col("props").alias("part"), "ts")
+    out = W.drain(W.tool_calls(e), "stream_tool_calls")
+    return out.select("call", F.date_format("day", "yyyy-MM-dd").alias("day"), "name", F.length("arguments").cast("long").alias("length"), F.md5("arguments").alias("digest"))
+
+
+def stream_dashboard(spark, sf):
+    """A frame for every five seconds with events, as a stream."""
+    return W.drain(W.dashboard(W.read(spark, sf, "events")), "stream_dashboard").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+QUERIES = {f.__name__: f for f in (stream_windows, stream_sessions, stream_tool_calls, stream_dashboard)}
 
 ORACLES = {
+    "stream_tool_calls": "SELECT user_id AS call, strftime(ts, '%Y-%m-%d') AS day, max_by(event_type, event_id) AS name, length(string_agg(props, '' ORDER BY event_id))::BIGINT AS length, md5(string_agg(props, '' ORDER BY event_id)) AS digest FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d')",
+    "stream_dashboard": "SELECT *, CASE WHEN errors * 2 > n THEN 'critical' WHEN errors > 0 THEN 'degraded' ELSE 'healthy' END AS status FROM (SELECT strftime(time_bucket(INTERVAL '5 seconds', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS n, (count(*) FILTER (event_type = 'error'))::BIGINT AS errors FROM events GROUP BY time_bucket(INTERVAL '5 seconds', ts))",
     "stream_windows": "SELECT strftime(time_bucket(INTERVAL '15 minutes', ts), '%Y-%m-%d %H:%M') AS slot, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY time_bucket(INTERVAL '15 minutes', ts), event_type",
     "stream_sessions": "WITH e AS (SELECT *, coalesce((ts - lag(ts) OVER w >= INTERVAL '30 minutes')::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, session",
 }

@@ -28,6 +28,26 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return w.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
+def tool_calls(deltas: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(call, day, name, arguments) of calls that arrive in pieces (call, seq, name, part, ts).
+
+    The last name that isn't null wins, parts are joined by seq. A call ends with its day, and
+    a call's parts are one string, so they fit a task.
+    """
+    day = F.window("ts", "1 day")
+    parts = deltas.withWatermark("ts", late).groupBy(day.alias("w"), "call").agg(
+        F.max_by("name", F.when(F.col("name").isNotNull(), F.col("seq"))).alias("name"), F.collect_list(F.struct("seq", "part")).alias("parts")
+    )
+    return parts.select("call", F.col("w.start").alias("day"), "name", F.array_join(F.transform(F.array_sort("parts"), lambda p: p["part"]), "").alias("arguments"))
+
+
+def dashboard(events: DataFrame, every: str = "5 seconds", late: str = "1 hour") -> DataFrame:
+    """(start, n, errors, status) of each push; a status other than healthy is an alert."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    status = F.when(F.col("errors") * 2 > F.col("n"), "critical").when(F.col("errors") > 0, "degraded").otherwise("healthy")
+    return w.select(F.col("w.start").alias("start"), "n", "errors", status.alias("status"))
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all there is now and gives its whole result, open windows included.
 
