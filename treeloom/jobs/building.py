@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import text as T
 from treeloom.jobs import texts as X
+from treeloom.operators import clusters as C
 
 #: Tokens of a parent's summary.
 SUMMARY = 100
@@ -60,10 +61,35 @@ def cached_batch(spark, sf):
     return d.select("doc_id", "cache_key").join(known, "cache_key").drop("cache_key")
 
 
-QUERIES = {f.__name__: f for f in (adaptive_parameters, cluster_memo, parent_summary, cached_batch)}
+def pair_clusters(spark, sf):
+    """Vectors two by two: one cluster or two."""
+    e = _table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("group"), F.col("vec_id").alias("node_id"), "embedding")
+    return C.small_clusters(e)
+
+
+def ward_clusters(spark, sf):
+    """Vectors in groups of seven: Ward's clusters with the best silhouette."""
+    e = _table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 7).alias("group"), F.col("vec_id").alias("node_id"), "embedding")
+    return C.small_clusters(e)
+
+
+def cluster_quality(spark, sf):
+    q = C.quality(_table(spark, sf, "embeddings").select("embedding", "label"))
+    return q.select("n", "k", *(F.round(c, 4).alias(c) for c in ("inertia", "calinski_harabasz", "silhouette")), "accepted")
+
+
+QUERIES = {f.__name__: f for f in (adaptive_parameters, cluster_memo, parent_summary, cached_batch, pair_clusters, ward_clusters, cluster_quality)}
 
 _SHARES = ", ".join(f"round(len(regexp_extract_all(lower(text), '{c}'))::DOUBLE / greatest(length(text), 1), 6) AS v_{c}" for c in LETTERS)
 ORACLES = {
+    "pair_clusters": "WITH v AS (SELECT vec_id // 2 AS g, vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS second FROM v a JOIN v b ON a.g = b.g AND a.vec_id > b.vec_id WHERE NOT list_cosine_similarity(a.e, b.e) > 0.1) SELECT g AS \"group\", vec_id AS node_id, (vec_id IN (SELECT second FROM p))::INT AS cluster FROM v",
+    "cluster_quality": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+m AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.e, b.e) ** 2) AS s, count(*) AS n FROM v a, v b GROUP BY ALL),
+s AS (SELECT vec_id, sum(s / greatest(n - 1, 1)) FILTER (own = other) AS a, min(s / n) FILTER (own <> other) AS b, max(n) FILTER (own = other) AS n FROM m GROUP BY vec_id),
+sil AS (SELECT avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS sil FROM s),
+w AS (SELECT sum(s / n) / 2 AS w FROM m WHERE own = other), t AS (SELECT sum(s) / 2 / (SELECT count(*) FROM v) AS t FROM m),
+c AS (SELECT count(*)::BIGINT AS n, count(DISTINCT label)::BIGINT AS k FROM v)
+SELECT n, k, round(w, 4) AS inertia, round((t - w) / (k - 1) / (w / (n - k)), 4) AS calinski_harabasz, round(sil, 4) AS silhouette, sil >= 0.2 AS accepted FROM c, w, t, sil""",
     "adaptive_parameters": "SELECT source, (CASE WHEN avg(length(text)) > 500 THEN 12 WHEN avg(length(text)) < 100 THEN 8 ELSE 10 END)::BIGINT AS dim, CASE WHEN max(length(text)) > 3 * avg(length(text)) THEN 0.09::DOUBLE ELSE 0.1::DOUBLE END AS threshold FROM documents GROUP BY source",
     "cluster_memo": "WITH k AS (SELECT conv_id, md5(array_to_string(list_sort(list(substr(text, 1, 50))), '|')) AS memo FROM conversations WHERE text IS NOT NULL GROUP BY conv_id) SELECT memo, conv_id, min(conv_id) OVER (PARTITION BY memo) AS first_conv FROM k",
     "parent_summary": f"WITH d AS (SELECT source, doc_id, {X._SENT.format('text')}[1] AS s FROM documents), n AS (SELECT *, sum(len(regexp_extract_all(s, '{X._TOK}'))) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM d WHERE s IS NOT NULL) SELECT source, count(*)::BIGINT AS n_members, string_agg(s, ' ' ORDER BY doc_id) AS summary FROM n WHERE upto <= {SUMMARY} GROUP BY source",
