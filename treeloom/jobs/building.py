@@ -73,12 +73,18 @@ def ward_clusters(spark, sf):
     return C.small_clusters(e)
 
 
+def divided_clusters(spark, sf):
+    """Vectors with 20 to 116 tokens each, halved until clusters are within 3500 tokens or three levels deep."""
+    e = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), (F.col("vec_id") % 97 + 20).alias("n_tokens"), "embedding")
+    return C.divide(e)
+
+
 def cluster_quality(spark, sf):
     q = C.quality(_table(spark, sf, "embeddings").select("embedding", "label"))
     return q.select("n", "k", *(F.round(c, 4).alias(c) for c in ("inertia", "calinski_harabasz", "silhouette")), "accepted")
 
 
-QUERIES = {f.__name__: f for f in (adaptive_parameters, cluster_memo, parent_summary, cached_batch, pair_clusters, ward_clusters, cluster_quality)}
+QUERIES = {f.__name__: f for f in (adaptive_parameters, cluster_memo, parent_summary, cached_batch, pair_clusters, ward_clusters, divided_clusters, cluster_quality)}
 
 _SHARES = ", ".join(f"round(len(regexp_extract_all(lower(text), '{c}'))::DOUBLE / greatest(length(text), 1), 6) AS v_{c}" for c in LETTERS)
 ORACLES = {
