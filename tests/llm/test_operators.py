@@ -139,3 +139,25 @@ def test_windows_agree():
         for x in s:
             assert [bool(f) for f in flags[at : at + len(x) - 7]] == [all_.count(x[i : i + 8]) > 1 for i in range(len(x) - 7)]
             at += len(x) + 1
+
+
+def test_embedding_caps_grow_with_the_table():
+    caps = []
+    for n in (5_000, 50_000, 1_000_000):
+        codes, k = embedding_dedup.design(n, 64)
+        caps.append(k)
+        # pairs that the choice of caps has not seen
+        assert embedding_dedup.modelled_misses(64, codes, k, trials=6001) <= 6
+    assert caps == sorted(caps) and caps[0] < caps[2]
+    assert embedding_dedup.design(50_000, 2) == (1, 1)
+
+
+def test_embedding_links_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 16))
+    x[2000:] = x[:2000] + rng.normal(size=(2000, 16)) * 0.45
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.id: r.n_links for r in embedding_dedup.near_duplicates(v).collect()}
+    assert want.sum() > 1500 and sum(got[i] for i in range(4000)) >= 0.999 * want.sum() and all(got[i] <= want[i] for i in range(4000))

@@ -2,9 +2,12 @@
 
 Filters are directions of a structured random product code: the coordinates are rotated and
 cut into parts, each part has its own random unit vectors, and a filter is one of them for
-every part. A vector lies in the caps of all filters whose inner product with it reaches a bound;
-they are list-decoded from the parts, best first, without looking at the other filters.
-Vectors meet in the filters that they share, and are verified by cosine in double precision.
+every part. A vector lies in the caps of a fixed number of filters, those of largest inner product
+with it, so each vector's bound is its own quantile of the code; they are list-decoded from the
+parts, best first, without looking at the other filters. Vectors meet in the filters that they
+share, and are verified by cosine in double precision. The number of caps grows with the number of
+vectors: random pairs at the cosine bound go through the code itself, and caps are added until
+none of them misses. Lengths with no more vectors than a block are compared whole.
 
 Equal vectors are one entry with a number of rows. Lists of a filter are cut into blocks of
 bounded size, and pairs of blocks are compared as matrices, so no list is gathered in one task; a pair
@@ -13,14 +16,13 @@ a spanning forest, not the pairs.
 
 Cases: vectors that are null, zero, empty or hold null or non-finite components link with nothing,
 and are their own component; vectors of different lengths never link; rows with a null vec_id
-link with nothing and have a null component; rows that share a vec_id count one by one as links;
-a vector with no filter above the bound takes its best one. Extra columns don't matter.
+link with nothing and have a null component; rows that share a vec_id count one by one as links.
+Extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 
 from treeloom.llm.common import Workspace, components, join_by_key
 
-COSINE, PARTS, CAPS, BLOCK, SEED = 0.9, 2, 32, 512, 20240301
+COSINE, PARTS, BLOCK, SEED = 0.9, 2, 512, 20240301
+#: Fewest caps of a vector, and random pairs at the cosine bound of which none may miss (so about 1 in 1,300 at most, at 95 percent).
+CAPS, TRIALS = 16, 4000
 #: Members that a filter has on average: the number of filters follows the number of vectors.
 MEMBERS = 128
 
@@ -47,37 +51,55 @@ class CapCode:
             c = rng.standard_normal((codes, b - a))
             self.books.append(c / np.linalg.norm(c, axis=1, keepdims=True))
 
-    def bound(self, wanted: float) -> float:
-        """Inner product that about ``wanted`` of all filters exceed for a random unit vector."""
-        share = min(0.5, wanted / float(np.prod([float(len(b)) for b in self.books])))
-        return NormalDist().inv_cdf(1 - share) * (len(self.books) / len(self.rotation)) ** 0.5
+    def caps(self, x: np.ndarray, wanted: int) -> np.ndarray:
+        """The ``wanted`` filters (all, if there are fewer) of largest inner product with each row, as a sorted int64 matrix.
 
-    def caps(self, x: np.ndarray, bound: float) -> list[np.ndarray]:
-        """All filters whose inner product with the row reaches ``bound``, as sorted int64; else the best one.
-
-        List decoding: a choice in the parts so far is followed only if the best choice in
-        the parts to come could still lift it to the bound.
+        List decoding: the best sums of all parts begin with best sums of the parts so far.
         """
-        x = x @ self.rotation
-        scores = [x[:, a:b] @ book.T for (a, b), book in zip(zip(self.cuts, self.cuts[1:]), self.books)]
-        best = np.array([s.max(1) for s in scores])
-        lists = []
-        for r in range(len(x)):
-            if best[:, r].sum() < bound:
-                code = 0
-                for s in scores:
-                    code = code * s.shape[1] + int(s[r].argmax())
-                lists.append(np.array([code], np.int64))
-                continue
-            total, codes = np.zeros(1), np.zeros(1, np.int64)
-            for p, s in enumerate(scores):
-                rest = bound - best[p + 1 :, r].sum() - 1e-12
-                able = np.flatnonzero(s[r] >= rest - total.max())
-                sums = total[:, None] + s[r, able]
-                i, j = np.nonzero(sums >= rest)
-                total, codes = sums[i, j], codes[i] * s.shape[1] + able[j]
-            lists.append(np.sort(codes))
-        return lists
+        out = [self._caps(x[at : at + 1000] @ self.rotation, wanted) for at in range(0, len(x), 1000)]
+        return np.concatenate(out)
+
+    def _caps(self, x: np.ndarray, wanted: int) -> np.ndarray:
+        total, codes = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+        for (a, b), book in zip(zip(self.cuts, self.cuts[1:]), self.books):
+            s = x[:, a:b] @ book.T
+            best = np.argsort(-s, axis=1, kind="stable")[:, :wanted]
+            s = np.take_along_axis(s, best, 1)
+            # the i-th and the j-th best have i * j sums that are no smaller
+            i, j = np.nonzero(np.outer(np.arange(1, total.shape[1] + 1), np.arange(1, s.shape[1] + 1)) <= wanted)
+            sums, names = total[:, i] + s[:, j], codes[:, i] * len(book) + best[:, j]
+            top = np.argsort(-sums, axis=1, kind="stable")[:, :wanted]
+            total, codes = np.take_along_axis(sums, top, 1), np.take_along_axis(names, top, 1)
+        return np.sort(codes, axis=1)
+
+
+def modelled_misses(dim: int, codes: int, caps: int, cosine: float = COSINE, parts: int = PARTS, trials: int = TRIALS) -> int:
+    """How many of ``trials`` random pairs at exactly ``cosine`` share no filter."""
+    rng = np.random.default_rng([SEED, dim, codes, caps])
+    u, w = rng.standard_normal((2, trials, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (u * w).sum(1, keepdims=True) * u
+    w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+    code = CapCode(dim, parts, codes)
+    a, b = code.caps(u, caps), code.caps(cosine * u + max(0.0, 1 - cosine * cosine) ** 0.5 * w, caps)
+    both = np.sort(np.concatenate([a, b], 1), axis=1)
+    return int((both[:, 1:] != both[:, :-1]).all(1).sum())
+
+
+def design(n: int, dim: int, cosine: float = COSINE, parts: int = PARTS, caps: int = CAPS, members: int = MEMBERS, block: int = BLOCK, trials: int = TRIALS) -> tuple[int, int]:
+    """(codes of a part, caps of a vector) for n vectors.
+
+    One filter for all, so an exact comparison, if they fill a block at most or caps would cost as many comparisons.
+    """
+    if n <= block:
+        return 1, 1
+    while caps * members < n:
+        codes = max(16, math.ceil((n * caps / members) ** (1 / parts)))
+        # few trials first, as they already rule most numbers out
+        if not any(modelled_misses(dim, codes, caps, cosine, parts, t) for t in (trials // 8, trials)):
+            return codes, caps
+        caps = math.ceil(caps * 1.25)
+    return 1, 1
 
 
 def _matrix(col) -> np.ndarray:
@@ -85,7 +107,7 @@ def _matrix(col) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-def _decode(parts: int, codes: int, most: float):
+def _decode(parts: int, designs: dict[int, tuple[int, int]]):
     def run(batches):
         books: dict[int, CapCode] = {}
         for batch in batches:
@@ -95,8 +117,10 @@ def _decode(parts: int, codes: int, most: float):
                 x = _matrix(part["vec"])
                 x = x / np.abs(x).max(1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                book = books.setdefault(dim, CapCode(dim, parts, codes))
-                caps = book.caps(x, book.bound(most))
+                codes, most = designs[dim]
+                if dim not in books:
+                    books[dim] = CapCode(dim, parts, codes)
+                caps = books[dim].caps(x, most)
                 yield pa.RecordBatch.from_arrays([part["rep"], part["rows"], pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in caps], pa.binary()), pa.array(list(caps), pa.list_(pa.int64())), pa.array(np.full(len(x), dim, np.int32))], names=["rep", "rows", "unit", "caps", "filter", "dim"])
 
     return run
@@ -128,10 +152,24 @@ def _pack(block: int):
 _BLOCK = "dim int, filter long, first long, ids binary, ns binary, units binary, caps array<binary>"
 
 
-def _padded(lists: list[bytes], fill: int) -> np.ndarray:
-    out = np.full((len(lists), max(map(len, lists)) // 8), fill, np.int64)
-    for row, x in zip(out, lists):
-        row[: len(x) // 8] = np.frombuffer(x, np.int64)
+def _meet_lower(a: list[bytes], b: list[bytes], f: int) -> np.ndarray:
+    """Which of the members a share a filter under ``f`` with which of b."""
+    sides = []
+    for caps in (a, b):
+        m = np.frombuffer(b"".join(caps), np.int64).reshape(len(caps), -1)
+        row, col = np.nonzero(m < f)
+        sides.append((row, m[row, col], len(caps)))
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    out = np.zeros((len(a), len(b)), bool)
+    for at in range(0, len(both), 4096):
+        part = both[at : at + 4096]
+        held = []
+        for row, name, n in sides:
+            i = np.flatnonzero(np.isin(name, part))
+            m = np.zeros((n, len(part)), np.float32)
+            m[row[i], np.searchsorted(part, name[i])] = 1
+            held.append(m)
+        out |= held[0] @ held[1].T > 0
     return out
 
 
@@ -146,19 +184,12 @@ def _compare(cosine: float):
                 a, b = np.frombuffer(g("ids"), np.int64), np.frombuffer(g("ids_b"), np.int64)
                 na, nb = np.frombuffer(g("ns"), np.int64), np.frombuffer(g("ns_b"), np.int64)
                 x, y = np.frombuffer(g("units"), np.float64).reshape(-1, dim), np.frombuffer(g("units_b"), np.float64).reshape(-1, dim)
-                ca, cb = _padded(g("caps"), -1), _padded(g("caps_b"), -2)
                 u, v = np.nonzero(x @ y.T >= cosine)
                 if g("first") == g("first_b"):
                     u, v = u[a[u] < b[v]], v[a[u] < b[v]]
-                own = np.ones(len(u), bool)
-                for at in range(0, len(u), 50_000):  # the smallest filter that both hold counts the pair
-                    p, q = ca[u[at : at + 50_000]], cb[v[at : at + 50_000]]
-                    lower = (p < f)
-                    shared = np.zeros(len(p), bool)
-                    for k in range(p.shape[1]):
-                        shared |= lower[:, k] & (q == p[:, k : k + 1]).any(1)
-                    own[at : at + 50_000] = ~shared
-                u, v = u[own], v[own]
+                if len(u):  # the smallest filter that both hold counts the pair
+                    own = ~_meet_lower(g("caps"), g("caps_b"), f)[u, v]
+                    u, v = u[own], v[own]
                 if not len(u):
                     continue
                 ids = np.concatenate([a, b])
@@ -185,8 +216,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     fine = F.col("id").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     v = ws.save(v.withColumn("ok", F.coalesce(fine, F.lit(False))).withColumn("key", F.when(F.col("ok"), F.sha2(F.array_join(F.transform("vec", lambda x: (x + F.lit(0.0)).cast("string")), ",").cast("binary"), 256))), "vectors")
     entries = ws.save(v.where("ok").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.min("vec").alias("vec")), "entries")
-    codes = max(16, math.ceil((entries.count() * caps / members) ** (1 / parts)))
-    coded = entries.select("rep", "rows", "vec").mapInArrow(_decode(parts, codes, caps), "rep long, rows long, unit binary, caps binary, filter array<long>, dim int")
+    sizes = entries.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()
+    designs = {r.dim: design(r.n, r.dim, cosine, parts, caps, members, block) for r in sizes}
+    coded = entries.select("rep", "rows", "vec").mapInArrow(_decode(parts, designs), "rep long, rows long, unit binary, caps binary, filter array<long>, dim int")
     coded = ws.save(coded, "coded")
     # filters with one member meet nobody
     posts = coded.select("dim", "rep", F.explode("filter").alias("filter"))
