@@ -161,3 +161,47 @@ def test_embedding_links_against_brute_force(spark):
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r.id: r.n_links for r in embedding_dedup.near_duplicates(v).collect()}
     assert want.sum() > 1500 and sum(got[i] for i in range(4000)) >= 0.999 * want.sum() and all(got[i] <= want[i] for i in range(4000))
+
+
+def _wrapped(text, start=""):
+    import textwrap
+
+    # what follows a colon stands in a paragraph of its own
+    return "\n\n".join("\n".join(start + line for line in textwrap.wrap(p, 72 - len(start))) for p in text.split("\n\n"))
+
+
+def test_every_licence_rule_on_its_wrapped_text(spark):
+    s = licenses.SENTENCES
+    rows, want = [], {}
+    for n, (name, run) in enumerate(licenses.RULES, 1):
+        body = " ".join(s[i] for i in run).replace("conditions: ", "conditions:\n\n").replace("are met: ", "are met:\n\n")
+        apart = "\n\n".join(_wrapped(s[i]) for i in run)
+        items = "\n\n".join(f"{k}. " * (k > 0) + _wrapped(s[i]) for k, i in enumerate(run))
+        for k, text in enumerate((_wrapped(body), _wrapped(body, "# "), _wrapped(body, " * "), apart, items, "Some Title\n\n" + apart + "\n\nOther words.")):
+            rows.append((10 * n + k, text))
+            want[10 * n + k] = [(n, name, 1)]
+    got = {r.doc_id: [tuple(m) for m in r.matches] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+"""
+    apache = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+"""
+    part = "Licensed under the Apache License, Version 2.0 or later\nReleased under the MIT License. x"
+    got = [[m.license for m in r.matches] for r in licenses.scan(spark.createDataFrame([(bsd,), (apache,), (part,)], "text string")).collect()]
+    assert got == [["BSD-2-Clause"], ["Apache-2.0"], ["MIT"]]

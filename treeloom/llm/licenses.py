@@ -1,7 +1,10 @@
 """License scans by sentence rules, in DataFrame operations alone.
 
-A text is cut into sentences, each normalised (A-Z lower-cased, runs of other characters
-than a-z and 0-9 as one space) and looked up among known licence sentences. The sequence
+A text is cut into pieces at line breaks and sentence ends, each normalised (A-Z lower-cased, runs
+of other characters than a-z and 0-9 as one space). A known licence sentence is a run of whole
+pieces that reads as the sentence, however it is wrapped, commented, cut after an abbreviation or
+numbered as an item of a list; longer sentences come first. Every other piece is a sentence of its
+own, so a notice on one line is one. The sequence
 of identifiers that results, 0 for unknown sentences, is matched against licence rules in
 their order: a rule is a run of identifiers; what one rule has matched, later rules don't
 see, so longer rules stand before those they contain.
@@ -66,9 +69,9 @@ RULES = [
     ("LicenseRef-proprietary", (20,)),
 ]
 
-#: Between sentences: line breaks, or white space after a full stop, question or exclamation mark.
+#: Between pieces: line breaks, or white space after a full stop, question or exclamation mark.
 BREAK = r"[\n\r]+|(?<=[.!?])[ \t]+"
-#: The same without a look-behind, for engines that have none: a mark is put in first.
+#: Stands at the cuts; SQL's engine has no look-behind, so there it is put in by a pattern of its own.
 MARK = "\x01"
 
 
@@ -78,21 +81,26 @@ def normalised(s: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", s.translate(str.maketrans(UPPER, LOWER))).strip(" ")
 
 
-def _normal(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.translate(c, UPPER, LOWER), "[^a-z0-9]+", " "), F.lit(" "))
+#: The number or letter of a list's item may stand before a sentence, in its piece or in one of its own.
+ITEM = "(?:(?:[0-9]{1,2}|[a-z])[ |])?"
 
 
 def sentence_ids(text: Column, sentences: dict[int, str]) -> Column:
     """Array of identifiers of the sentences that hold a letter or digit, 0 for unknown ones."""
-    known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (normalised(s), i)))
-    lengths = [len(normalised(s)) for s in sentences.values()]
-    low, high = min(lengths), max(lengths)
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), BREAK), lambda s: s.rlike("[A-Za-z0-9]"))
-
-    def one(s):
-        return F.when(F.length(s) < low, 0).otherwise(F.coalesce(F.element_at(known, _normal(s)), F.lit(0)))
-
-    return F.transform(parts, one)
+    cut = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK, " "), BREAK, MARK)
+    plain = F.regexp_replace(F.translate(cut, UPPER, LOWER), f"[^a-z0-9{MARK}]+", " ")
+    pieces = F.concat(F.lit("|"), F.btrim(F.regexp_replace(plain, f" ?{MARK}[ {MARK}]*", "|"), F.lit(" |")), F.lit("|"))
+    known = sorted(((normalised(x), i) for i, x in sentences.items()), key=lambda k: -len(k[0]))
+    book = F.array(*(F.struct(F.lit(f" {x} ").alias("words"), F.lit(rf"\|{ITEM}{x.replace(' ', '[ |]')}(?=\|)").alias("run"), F.lit(f"|<{i}>").alias("id")) for x, i in known))
+
+    def step(state, sentence):
+        # few texts hold a sentence's words, so the pattern is seldom tried
+        found = F.when(F.contains(state["words"], sentence["words"]), F.regexp_replace(state["pieces"], sentence["run"], sentence["id"]))
+        return F.struct(F.coalesce(found, state["pieces"]).alias("pieces"), state["words"].alias("words"))
+
+    start = F.transform(F.array(pieces), lambda p: F.struct(p.alias("pieces"), F.translate(p, "|", " ").alias("words")))
+    found = F.aggregate(book, F.get(start, F.lit(0)), step, lambda s: s["pieces"])
+    return F.transform(F.filter(F.split(found, r"\|"), lambda p: p != ""), lambda p: F.when(p.startswith("<"), F.substring_index(F.substring(p, 2, 20), ">", 1).cast("int")).otherwise(0))
 
 
 def scan(docs: DataFrame, text_col: str = "text", sentences: dict[int, str] | None = None, rules: list | None = None) -> DataFrame:
