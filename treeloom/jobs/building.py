@@ -64,13 +64,13 @@ def cached_batch(spark, sf):
 def pair_clusters(spark, sf):
     """Vectors two by two: one cluster or two."""
     e = _table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("group"), F.col("vec_id").alias("node_id"), "embedding")
-    return C.small_clusters(e)
+    return C.group_clusters(e)
 
 
 def ward_clusters(spark, sf):
     """Vectors in groups of seven: Ward's clusters with the best silhouette."""
     e = _table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 7).alias("group"), F.col("vec_id").alias("node_id"), "embedding")
-    return C.small_clusters(e)
+    return C.group_clusters(e)
 
 
 def divided_clusters(spark, sf):
