@@ -22,9 +22,10 @@ LEAST_SCORE = 0.25
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a recognised language; those without a letter or with no decided language go."""
     model = language_id.fit(docs.where(~language_id.held_out()).select("doc_id", "text", "lang"))
-    known = language_id.predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), model)
-    kept = known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), "text")
+    known = language_id.predict(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return known.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +36,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8) stays: that of the smallest doc_id."""
-    gone = minhash_dedup.near_duplicates(docs, percent=80).where("NOT kept").select(F.col("id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = minhash_dedup.near_duplicates(docs, percent=80).where("NOT kept").select(F.col("id").alias("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
