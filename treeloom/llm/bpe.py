@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.llm.common import bounded_batches
+
 M64 = (1 << 64) - 1
 
 
@@ -84,7 +86,7 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
 class Codec:
     """Encoder and decoder of one vocabulary; pre-tokens seen lately are remembered, up to ``remember``."""
 
-    def __init__(self, entries: list[tuple[bytes, int]], pattern: str, remember: int = 400_000):
+    def __init__(self, entries: list[tuple[bytes, int]], pattern: str, remember: int = 100_000):
         self.entries, self.pattern, self.remember = entries, pattern, remember
         self.table = PerfectHash([k for k, _ in entries])
         self.ready = False
@@ -204,6 +206,7 @@ def _mapped(df: DataFrame, col: str, as_name: str, fn, more: str, drop: tuple[st
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """The rows with ``ids array<int>``; a column of that name is replaced."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(codec_of(path, pattern))
     keep = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text_col}`").alias("text"))
@@ -215,6 +218,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """The rows with ``bytes binary`` of their ids; a column of that name is replaced."""
+    bounded_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(codec_of(path, pattern))
     return _mapped(encoded, ids_col, "ids", _decode(shared), "bytes binary", ("bytes",))
 
@@ -224,6 +228,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
 
     Encoding and decoding happen in one pass, so that neither ids nor bytes leave the task.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(codec_of(path, pattern))
     return _mapped(docs, text_col, "text", _digests(shared), "n_tokens long, ids_sha256 string, decoded_sha256 string", (text_col, "n_tokens", "ids_sha256", "decoded_sha256"))
 

@@ -2,47 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom.sources.scratch import Scratch
+
 #: Whitespace of the contracts, ``[\x20\x09-\x0D]``.
 WS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-class Workspace:
-    """Intermediate tables in the folder that all executors share.
+#: Rows and bytes of an Arrow batch that goes to a Python task. Spark's own bounds (10,000 rows, 2 GB) hold any number of long texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
 
-    Tables are written as Parquet under ``spark.checkpoint.dir``, so that losing an
-    executor loses nothing and lineage ends there. Only where that setting is absent
-    (tests on one machine) a temporary folder is taken and set.
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's bounds of an Arrow batch, unless the user has set rows of their own.
+
+    Plans that an operator returns run later, so the setting stays with the session.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+class Workspace(Scratch):
+    """Scratch tables of an operator; Arrow batches of the session are bounded."""
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.spark, self.base, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
-
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that no later plan reads."""
-        jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        super().__init__(spark, name)
+        bounded_batches(spark)
 
 
 def join_by_key(big: DataFrame, small: DataFrame, key: str, freq: str, least: int = 2000, share: int = 1000) -> DataFrame:
@@ -62,6 +52,17 @@ def join_by_key(big: DataFrame, small: DataFrame, key: str, freq: str, least: in
     return hot_part.unionByName(cold.join(rest, key))
 
 
+def block_pairs(blocks: DataFrame, keys: list[str], sides: tuple[str, ...]) -> DataFrame:
+    """Pairs of the blocks of a key, each once: (keys, i, j, sides, sides with ``_b``).
+
+    A block stands in ``salt`` of the key's ``salts``. It is sent to every pair of salts that it is
+    in, so the pairs of a frequent key are as many join keys and as many tasks as it has pairs of salts.
+    """
+    one = blocks.select(*keys, F.col("salt").alias("i"), F.explode(F.sequence("salt", F.col("salts") - 1)).alias("j"), *sides)
+    two = blocks.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), "salt")).alias("i"), F.col("salt").alias("j"), *(F.col(c).alias(f"{c}_b") for c in sides))
+    return one.join(two, [*keys, "i", "j"]).where("i < j OR first <= first_b")
+
+
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (src, dst): component is the smallest id reachable.
 

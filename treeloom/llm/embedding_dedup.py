@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import Workspace, components, join_by_key
+from treeloom.llm.common import Workspace, block_pairs, components, join_by_key
 
 COSINE, PARTS, BLOCK, SEED = 0.9, 2, 512, 20240301
 #: Fewest caps of a vector, and random pairs at the cosine bound of which none may miss (so about 1 in 1,300 at most, at 95 percent).
@@ -127,21 +127,23 @@ def _decode(parts: int, designs: dict[int, tuple[int, int]]):
 
 
 def _pack(block: int):
-    """Packs sorted members of filters into blocks of at most ``block``."""
+    """Packs sorted members of filters into blocks of at most ``block``, one salt each."""
 
     def run(batches):
         now, held = None, []
 
         def out():
             cols = list(zip(*held))
-            return pa.RecordBatch.from_pydict({"dim": pa.array([now[0]], pa.int32()), "filter": pa.array([now[1]], pa.int64()), "first": pa.array([min(cols[0])], pa.int64()), "ids": [np.array(cols[0], np.int64).tobytes()], "ns": [np.array(cols[1], np.int64).tobytes()], "units": [b"".join(cols[2])], "caps": pa.array([list(cols[3])], pa.list_(pa.binary()))})
+            row = (*now, min(cols[0]), np.array(cols[0], np.int64).tobytes(), np.array(cols[1], np.int64).tobytes(), b"".join(cols[2]), list(cols[3]))
+            held.clear()
+            kinds = (pa.int32(), *(pa.int64(),) * 4, *(pa.binary(),) * 3, pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["dim", "filter", "salt", "salts", "first", "ids", "ns", "units", "caps"])
 
         for batch in batches:
-            for dim, f, *row in zip(*(batch[c].to_pylist() for c in ("dim", "filter", "rep", "rows", "unit", "caps"))):
-                if held and ((dim, f) != now or len(held) >= block):
+            for dim, f, s, m, *row in zip(*(batch[c].to_pylist() for c in ("dim", "filter", "salt", "salts", "rep", "rows", "unit", "caps"))):
+                if held and ((dim, f, s, m) != now or len(held) >= block):
                     yield out()
-                    held = []
-                now = (dim, f)
+                now = dim, f, s, m
                 held.append(row)
         if held:
             yield out()
@@ -149,7 +151,18 @@ def _pack(block: int):
     return run
 
 
-_BLOCK = "dim int, filter long, first long, ids binary, ns binary, units binary, caps array<binary>"
+_BLOCK = "dim int, filter long, salt long, salts long, first long, ids binary, ns binary, units binary, caps array<binary>"
+_SIDES = ("first", "ids", "ns", "units", "caps")
+
+
+def _with_itself(pack, compare):
+    """Filters that fill one block: packed and compared in the same task."""
+
+    def both(batch):
+        cols = {n: batch[n] for n in batch.schema.names}
+        return pa.RecordBatch.from_pydict(cols | {f"{n}_b": cols[n] for n in _SIDES})
+
+    return lambda batches: compare(map(both, pack(batches)))
 
 
 def _meet_lower(a: list[bytes], b: list[bytes], f: int) -> np.ndarray:
@@ -224,21 +237,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     posts = coded.select("dim", "rep", F.explode("filter").alias("filter"))
     shared = ws.save(posts.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1"), "filters")
     # members of a filter are dealt to salts by their number, so that a full one is spread
-    posts = posts.join(shared, ["dim", "filter"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.lit(block))))
+    salts = F.ceil(F.col("n") / F.lit(block))
+    posts = posts.join(shared, ["dim", "filter"]).select("dim", "filter", "rep", salts.alias("salts"), F.pmod(F.xxhash64("rep"), salts).alias("salt"))
     posts = ws.save(posts, "posts").join(coded.select("rep", "rows", "unit", "caps"), "rep")
 
-    def packed(rows):
-        rows = rows.select("dim", "filter", "salt", "rep", "rows", "unit", "caps").repartition("dim", "filter", "salt")
-        return rows.sortWithinPartitions("dim", "filter", "salt", "rep").mapInArrow(_pack(block), _BLOCK)
-
-    sides = ("first", "ids", "ns", "units", "caps")
-    # most filters fill one block at most, which meets itself where it is packed; blocks of a full one meet by a join
-    alone = packed(posts.where(F.col("n") <= block)).select("*", *(F.col(c).alias(c + "_b") for c in sides))
-    full = ws.save(packed(posts.where(F.col("n") > block)), "blocks")
-    other = full.select("dim", "filter", *(F.col(c).alias(c + "_b") for c in sides))
-    pairs = full.join(other, ["dim", "filter"]).where("first <= first_b")
-    links = "rep long, n long, head long"
-    found = ws.save(alone.mapInArrow(_compare(cosine), links).unionByName(pairs.mapInArrow(_compare(cosine), links)), "links")
+    def sorted_(rows):
+        rows = rows.select("dim", "filter", "salt", "salts", "rep", "rows", "unit", "caps").repartition("dim", "filter", "salt")
+        return rows.sortWithinPartitions("dim", "filter", "salt", "rep")
+
+    # most filters fill one block at most, which meets itself where it is packed; blocks of a full one meet by pairs of salts
+    pack, compare, links = _pack(block), _compare(cosine), "rep long, n long, head long"
+    alone = sorted_(posts.where("salts = 1")).mapInArrow(_with_itself(pack, compare), links)
+    full = ws.save(sorted_(posts.where("salts > 1")).mapInArrow(pack, _BLOCK), "blocks")
+    met = block_pairs(full, ["dim", "filter"], _SIDES).mapInArrow(compare, links)
+    found = ws.save(alone.unionByName(met), "links")
     groups = ws.save(components(ws, found.where("rep <> head").select(F.col("rep").alias("src"), F.col("head").alias("dst"))), "groups")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     placed = entries.select("key", "rep", "rows").join(counts, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")

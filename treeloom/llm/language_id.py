@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.llm.common import bounded_batches
+
 DIM, SAMPLE, PIECE = 4096, 600, 1 << 20
 
 # Languages (ISO 639-1) by family.
@@ -147,6 +149,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
     The bound holds for what is fitted on, and so for what the driver gets: the weights.
     """
+    bounded_batches(labelled.sparkSession)
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row for each language
     langs = sorted(r["lang"] for r in counts)
@@ -177,6 +180,7 @@ def _predict(shared):
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows with lang_pred and score; columns of these names are replaced."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text_col}`").alias("text"))

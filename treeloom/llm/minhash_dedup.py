@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import PACKED, Workspace, components, join_by_key, mix, pack_hashes, repeat_filter
+from treeloom.llm.common import PACKED, Workspace, block_pairs, components, join_by_key, mix, pack_hashes, repeat_filter
 
 WORDS, COORDINATES = 5, 48
 #: Smallest shingle hashes kept to estimate a similarity, and members of a posting list compared at once.
@@ -50,7 +50,7 @@ def least_collisions(percent: int, coordinates: int = COORDINATES) -> int:
 class Shingler:
     """Shingle sets of texts; hashes of words seen lately are remembered."""
 
-    def __init__(self, words: int = WORDS, remember: int = 300_000):
+    def __init__(self, words: int = WORDS, remember: int = 60_000):
         self.words, self.remember, self.known = words, remember, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -184,37 +184,29 @@ def _collisions(least: int, percent: int, bottom: int):
     return run
 
 
-_BLOCKS = "token long, first long, reps binary, cs binary, ns binary, sigs binary, sketches array<binary>, lists array<binary>"
+_BLOCKS = "token long, salt long, salts long, first long, reps binary, cs binary, ns binary, sigs binary, sketches array<binary>, lists array<binary>"
 
 
 def _pack_lists(block: int):
-    """Packs the sorted members of posting lists into blocks of at most ``block``."""
+    """Packs the sorted members of posting lists into blocks of at most ``block``, one salt each."""
 
     def run(batches):
-        token, held, done = None, [], []
-
-        def close():
-            reps, cs, ns, sigs, sketches, lists = zip(*held)
-            done.append((token, min(reps), *(np.array(x, np.int64).tobytes() for x in (reps, cs, ns)), b"".join(sigs), list(sketches), list(lists)))
+        now, held = None, []
 
         def out():
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
-            rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=["token", "first", "reps", "cs", "ns", "sigs", "sketches", "lists"])
-            done.clear()
-            return rows
+            reps, cs, ns, sigs, sketches, lists = zip(*held)
+            row = (*now, min(reps), *(np.array(x, np.int64).tobytes() for x in (reps, cs, ns)), b"".join(sigs), list(sketches), list(lists))
+            held.clear()
+            kinds = (*(pa.int64(),) * 4, *(pa.binary(),) * 4, pa.list_(pa.binary()), pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["token", "salt", "salts", "first", "reps", "cs", "ns", "sigs", "sketches", "lists"])
 
         for batch in batches:
-            for t, *row in zip(*(batch[c].to_pylist() for c in ("token", "rep", "c", "shingles", "sig", "sketch", "list"))):
-                if held and (t != token or len(held) >= block):
-                    close()
-                    held = []
-                    if len(done) >= 64:
-                        yield out()
-                token = t
+            for t, s, m, *row in zip(*(batch[c].to_pylist() for c in ("token", "salt", "salts", "rep", "c", "shingles", "sig", "sketch", "list"))):
+                if held and ((t, s, m) != now or len(held) >= block):
+                    yield out()
+                now = t, s, m
                 held.append(row)
         if held:
-            close()
-        if done:
             yield out()
 
     return run
@@ -256,15 +248,47 @@ def _meet(least: int, percent: int, bottom: int):
     return run
 
 
+def _with_itself(pack, meet):
+    """Lists that fill one block: packed and compared in the same task."""
+
+    def both(batch):
+        cols = {n: batch[n] for n in batch.schema.names}
+        return pa.RecordBatch.from_pydict(cols | {f"{n}_b": cols[n] for n in _SIDES})
+
+    return lambda batches: meet(map(both, pack(batches)))
+
+
+_SIDES = ("first", "reps", "cs", "ns", "sigs", "sketches", "lists")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
+    """Pairs (a, b) that link, from rows sorted by (a, salt, b): the sets of a itself (b null), then those of its partners.
+
+    So the set of a is sent once for each salt and not once for each partner, and only one is held.
+    """
+
     def run(batches):
+        now, own = None, []
         for batch in batches:
-            ok = []
-            for a, b in zip(batch["set_a"], batch["set_b"]):
-                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            hits = []
+            for a, salt, b, s in zip(batch["a"].to_pylist(), batch["salt"].to_pylist(), batch["b"].to_pylist(), batch["set"]):
+                x = np.frombuffer(s.as_buffer(), np.uint64)
+                if (a, salt) != now:
+                    now, own = (a, salt), []
+                if b is None:
+                    own.append(x.copy())
+                elif any(linked(o, x, percent) for o in own):
+                    hits.append((a, b))
+            a, b = zip(*hits) if hits else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -293,9 +317,15 @@ class _Links:
         shared = self.docs.sparkSession.sparkContext.broadcast(repeat_filter(ws, ids))
         sets = self.docs.where("id IS NOT NULL").mapInArrow(_sets(shared, self.words), "id long, set binary")
         sets = ws.save(sets, "sets")
-        found = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        found = ws.save(found.mapInArrow(_confirm(self.percent), "a long, b long").distinct(), "links")
-        ws.drop(sets, ids)
+        often = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        pairs = pairs.join(often, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / F.lit(BLOCK))).alias("salt"))
+        pairs = ws.save(pairs, "salted")
+        heads = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
+        partners = pairs.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "set")
+        rows = heads.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        found = ws.save(rows.mapInArrow(_confirm(self.percent), "a long, b long").distinct(), "links")
+        ws.drop(sets, ids, pairs)
+        shared.destroy()
         return found
 
 
@@ -309,8 +339,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     reps = ws.save(sketches.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch"), F.count("*").alias("rows")), "entries")
     packed = ws.save(reps.select("sig").mapInArrow(_pack, PACKED), "tokens")
     shared = spark.sparkContext.broadcast(repeat_filter(ws, packed))
-    ws.drop(packed)
     postings = ws.save(reps.select("rep", "sig").mapInArrow(_post(shared, least), "token long, rep long"), "postings")
+    ws.drop(packed)
+    shared.destroy()
     often = ws.save(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
     ranked = join_by_key(postings, often, "token", "df").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most ``coordinates`` for each
     lists = ranked.where(F.size("t") >= least).select("rep", F.expr(f"slice(transform(t, x -> x.token), 1, size(t) - {least} + 1)").alias("list"))
@@ -328,17 +359,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     split = ws.save(placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high"), "split")
     rest = ws.save(join_by_key(placed, split.select("token", "n"), "token", "n").select("token", "rep", "c", "n"), "rest")
     members = lists.join(reps.select("rep", F.col("n").alias("shingles"), "sig", "sketch"), "rep").mapInArrow(_as_bytes, "rep long, shingles long, sig binary, sketch binary, list binary")
-    dealt = rest.join(members, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.lit(block))))
+    salts = F.ceil(F.col("n") / F.lit(block))
+    dealt = rest.join(members, "rep").select("*", salts.alias("salts"), F.pmod(F.xxhash64("rep"), salts).alias("salt"))
 
-    def packed(rows):
-        rows = rows.select("token", "salt", "rep", "c", "shingles", "sig", "sketch", "list").repartition("token", "salt")
-        return rows.sortWithinPartitions("token", "salt", "rep").mapInArrow(_pack_lists(block), _BLOCKS)
+    def sorted_(rows):
+        rows = rows.select("token", "salt", "salts", "rep", "c", "shingles", "sig", "sketch", "list").repartition("token", "salt")
+        return rows.sortWithinPartitions("token", "salt", "rep")
 
-    sides = ("first", "reps", "cs", "ns", "sigs", "sketches", "lists")
-    alone = packed(dealt.where(F.col("n") <= block)).select("*", *(F.col(c).alias(c + "_b") for c in sides))
-    full = ws.save(packed(dealt.where(F.col("n") > block)), "blocks")
-    pairs = full.join(full.select("token", *(F.col(c).alias(c + "_b") for c in sides)), "token").where("first <= first_b")
-    met = alone.mapInArrow(_meet(least, percent, bottom), "a long, b long").unionByName(pairs.mapInArrow(_meet(least, percent, bottom), "a long, b long"))
+    pack, meet = _pack_lists(block), _meet(least, percent, bottom)
+    alone = sorted_(dealt.where("salts = 1")).mapInArrow(_with_itself(pack, meet), "a long, b long")
+    full = ws.save(sorted_(dealt.where("salts > 1")).mapInArrow(pack, _BLOCKS), "blocks")
+    met = alone.unionByName(block_pairs(full, ["token"], _SIDES).mapInArrow(meet, "a long, b long"))
     more = confirm.confirmed(ws.save(met, "met"))
     if more.limit(1).count():
         edges = edges.union(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))

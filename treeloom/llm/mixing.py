@@ -95,22 +95,23 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(2.0).alias("weight")).distinct()
 
 
-def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, **options) -> DataFrame:
-    """The documents that the mix takes, each as often as it does; columns stay as they are."""
+def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that the mix takes, each as often as it does; columns stay as they are, whatever their names."""
     ws = Workspace(docs.sparkSession, "mixed")
-    picks = mix(docs, weights=weights, **options).where("copies > 0")
+    picks = mix(docs, id_col, text_col, weights=weights, **options).where("copies > 0")
     # rows with one doc_id and one text are drawn one by one: number them on both sides
-    same = ["doc_id", "tie"]
-    picks = picks.groupBy(*same).agg(F.sum("copies").alias("copies")).select(F.col("doc_id").alias("_i"), F.col("tie").alias("_t"), "copies")
-    d = docs.withColumn("_tie", F.xxhash64("text"))
-    shares = ws.save(d.groupBy(F.col("doc_id").alias("_j"), F.col("_tie").alias("_u")).agg(F.count("*").alias("_rows")).join(picks, F.col("_j").eqNullSafe(F.col("_i")) & (F.col("_u") == F.col("_t"))).select("_j", "_u", "_rows", "copies"), "picks")
-    out = d.join(shares, F.col("doc_id").eqNullSafe(F.col("_j")) & (F.col("_tie") == F.col("_u")))
-    once = out.where("_rows = 1").withColumn("_n", F.col("copies"))
+    picks = picks.groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies")).select(F.col("doc_id").alias("i"), F.col("tie").alias("t"), "copies")
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("tie"))
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t"))
+    shares = d.groupBy("doc_id", "tie").agg(F.count("*").alias("rows")).join(picks, same).select(F.col("doc_id").alias("i"), F.col("tie").alias("t"), "rows", "copies")
+    out = d.join(ws.save(shares, "picks"), same)
+    once = out.where("rows = 1").select("row", F.col("copies").alias("n"))
     # identical rows: their copies are dealt evenly, the first rows take what is left
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy(F.lit(0)))
-    many = out.where("_rows > 1").withColumn("_nth", nth).withColumn("_n", F.floor(F.col("copies") / F.col("_rows")) + (F.col("_nth") <= F.col("copies") % F.col("_rows")).cast("long")).drop("_nth")
-    taken = once.unionByName(many).where("_n > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))))
-    return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy(F.lit(0)))
+    left = (nth <= F.col("copies") % F.col("rows")).cast("long")
+    many = out.where("rows > 1").select("row", (F.floor(F.col("copies") / F.col("rows")) + left).alias("n"))
+    taken = once.unionByName(many).where("n > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
+    return taken.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
