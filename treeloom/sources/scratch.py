@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Files of a scratch table for each core: as many waves of tasks; partitions that share a task are worked off one by one.
+FILES = 4
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which a cluster must name; only on one machine a temporary folder stands in and is set."""
@@ -30,8 +33,9 @@ class Scratch:
         return f"{self.base}/{self.n:03d}-{name}"
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """Writes a table in at most ``FILES`` files for each core, as many small files cost more than they hold."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.coalesce(FILES * max(1, self.spark.sparkContext.defaultParallelism)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._path = path
         return out
