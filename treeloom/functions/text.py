@@ -1,4 +1,4 @@
-"""Text columns: tokens, sentences, document type, greedy packing."""
+"""Text columns: tokens, sentences, document type, content profile."""
 
 from __future__ import annotations
 
@@ -7,44 +7,105 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
 # What marks a line or span as markdown.
-MARKDOWN = (r"^#{1,6}\s+", r"^\*\s+", r"^\d+\.\s+", r"^```", r"^\|", r"\*\*.*?\*\*", r"__.*?__", r"\[.*?\]\(.*?\)", r"^>\s+")
+MARKDOWN = (
+    r"^#{1,6}\s+",
+    r"```[\s\S]*?```",
+    r"^\s*[-*+]\s+",
+    r"^\s*\d+\.\s+",
+    r"\|.*\|",
+    r"^\s*>\s+",
+    r"\[.*\]\(.*\)",
+    r"\*\*.*\*\*",
+    r"\*.*\*",
+)
+#: Java's multi-line mode and dot with \n as the one line end.
+_LINES = "(?md)"
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it stands in it; inside lambdas nothing else shares what is common."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN))
 
 
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def filled(text: Column) -> Column:
+    """Whether a text holds more than white space."""
+    return text.rlike(r"\S")
+
+
+def raw_sentences(text: Column) -> Column:
+    """Sentences end at . ! or ? before white space; blanks dropped."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), filled)
+
+
 def sentences(text: Column) -> Column:
-    """Sentences end at . ! or ? before white space; trimmed, blanks dropped."""
-    cut = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+")
-    return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    """Sentences without the white space around them."""
+    return F.transform(raw_sentences(text), trimmed)
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(_LINES + pattern))
+
+
+def n_lines(text: Column) -> Column:
+    return F.size(F.split(text, "\n"))
 
 
 def markdown_score(text: Column) -> Column:
-    hits = sum((F.regexp_count(text, F.lit("(?m)" + p)) for p in MARKDOWN), F.lit(0))
-    return hits / F.greatest(F.size(F.split(text, "\n")), F.lit(1))
+    return sum((_count(text, p) for p in MARKDOWN), F.lit(0)) / F.greatest(n_lines(text), F.lit(1))
+
+
+def document_type(score: Column) -> Column:
+    return F.when(score > 0.1, "markdown").when(score > 0.02, "mixed").otherwise("plain_text")
+
+
+def mean(values: Column) -> Column:
+    """Mean of an array of numbers, 0 of an empty one."""
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(values) > 0, total / F.size(values)).otherwise(0.0)
+
+
+def mean_line(text: Column) -> Column:
+    return mean(F.transform(F.filter(F.split(text, "\n"), filled), lambda s: F.length(s).cast("double")))
+
+
+def mean_sentence(text: Column) -> Column:
+    return mean(F.transform(F.filter(F.split(text, "[.!?]+"), filled), lambda s: F.length(trimmed(s)).cast("double")))
+
+
+def code_ratio(text: Column) -> Column:
+    return _count(text, r"```[\s\S]*?```") / F.greatest(n_lines(text), F.lit(1))
+
+
+def list_density(text: Column) -> Column:
+    return _count(text, r"^\s*[-*+\d]+\.?\s+") / F.greatest(n_lines(text), F.lit(1))
+
+
+def header_count(text: Column) -> Column:
+    return _count(text, r"^#{1,6}\s+")
+
 
+def paragraph_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, "\n\n"), filled))
 
-def document_type(text: Column) -> Column:
-    s = markdown_score(text)
-    return F.when(s > 0.1, "markdown").when(s > 0.02, "mixed").otherwise("plain_text")
 
+def one_line(text: Column) -> Column:
+    """A text's lines joined by a space; a line end at the very end goes without one."""
+    return F.regexp_replace(F.regexp_replace(text, r"(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])\z", ""), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", " ")
 
-def pack(parts: Column, limit: int) -> Column:
-    """Chunks of whole sentences with at most ``limit`` tokens; a longer sentence stands alone. Array of (text, n_tokens)."""
-    kind = "struct<done:array<struct<text:string,n_tokens:int>>,cur:string,n:int>"
-    start = F.struct(F.array().cast("array<struct<text:string,n_tokens:int>>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n")).cast(kind)
 
-    def flush(a):
-        return F.when(a["cur"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(F.struct(a["cur"].alias("text"), a["n"].alias("n_tokens")))))
+#: Letters whose shares make the vector of a text, in place of a remote model.
+LETTERS = "aeinstroldcum"
 
-    def step(a, s):
-        n = token_count(s)
-        over = a["cur"].isNotNull() & (a["n"] + n > limit)
-        return F.struct(
-            F.when(over, flush(a)).otherwise(a["done"]).alias("done"),
-            F.when(over | a["cur"].isNull(), s).otherwise(F.concat_ws(" ", a["cur"], s)).alias("cur"),
-            F.when(over | a["cur"].isNull(), n).otherwise(a["n"] + n).alias("n"),
-        ).cast(kind)
 
-    return F.aggregate(parts, start, step, flush)
+def letter_vector(text: Column) -> Column:
+    """Shares of some letters in a text: a vector that needs no model; a blank text has none (all zero)."""
+    share = lambda low: [(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))) / F.greatest(F.length(low), F.lit(1)) for c in LETTERS]
+    return let(F.lower(text), lambda low: F.array(*share(low)))

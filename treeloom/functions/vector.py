@@ -1,4 +1,7 @@
-"""Vector columns: distances between arrays of numbers, in double precision."""
+"""Vector columns: distances between arrays of numbers, in double precision.
+
+Vectors of different lengths, null ones and those with null components have a null distance.
+"""
 
 from __future__ import annotations
 
@@ -18,10 +21,23 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def usable(a: Column) -> Column:
+    """Whether a vector has components, all of them finite numbers."""
+    return F.coalesce((F.size(a) > 0) & F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Cosine; null if either vector is zero."""
+    both = norm(a) * norm(b)
+    return F.when(both > 0, dot(a, b) / both)
+
+
 def distance(a: Column, b: Column, metric: str) -> Column:
+    """A zero vector is at cosine distance 1 from every other."""
     gap = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))
     if metric == "cosine":
-        return 1 - dot(a, b) / (norm(a) * norm(b))
+        both = norm(a) * norm(b)
+        return F.when(both > 0, 1 - dot(a, b) / both).when(both == 0, 1.0)
     if metric == "l1":
         return _sum(gap)
     if metric == "l2":

@@ -1,76 +1,141 @@
-"""Layers of a tree over vectors: reduce, cluster softly, join clusters to parents."""
+"""Trees over texts and their vectors: cluster a layer, divide what is too long, summarise each cluster to a parent."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from math import log
+import time
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SEED = 224
+from treeloom.functions import text as T
+from treeloom.functions.numbering import numbered
+from treeloom.functions.vector import usable
+from treeloom.operators import clusters as C
+from treeloom.operators import mixtures as M
+from treeloom.sources.scratch import Scratch
+from treeloom.sources.trees import EDGES, BuildMetrics, Tree
 
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/tree-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@dataclass(frozen=True)
+class TreeConfig:
+    layers: int = 5
+    dim: int = 10
+    threshold: float = 0.1
+    summary_tokens: int = 100
+    max_tokens: int = 3500
+    depth: int = 3
+    least: float = 0.15
+    adaptive: bool = True
 
 
-def soft_clusters(nodes: DataFrame, dim: int = 10, threshold: float = 0.1, sizes: tuple[int, ...] = (2, 5, 10)) -> DataFrame:
-    """(node_id, cluster, p): each cluster that a node belongs to with more than ``threshold``, else its likeliest.
+def adjusted(level: DataFrame, config: TreeConfig) -> tuple[int, float]:
+    """(dimension, threshold) that suit a layer's texts: longer texts get more dimensions, uneven ones a lower threshold."""
+    r = level.agg(F.avg(F.length("text")).alias("mean"), F.max(F.length("text")).alias("high")).first()
+    if not config.adaptive or not r["mean"]:
+        return config.dim, config.threshold
+    dim = min(config.dim + 2, 15) if r["mean"] > 500 else max(config.dim - 2, 5) if r["mean"] < 100 else config.dim
+    return dim, config.threshold * 0.9 if r["high"] / r["mean"] > 3 else config.threshold
 
-    Principal components, then Gaussian mixtures of the given sizes (those of at most half
-    the nodes); the smallest Bayesian information criterion wins. The fits are spark.ml's, so
-    their work is distributed, and models have ``dim`` dimensions whatever the data.
+
+def leaves(chunks: DataFrame, *order: str) -> DataFrame:
+    """(node_id, text, n_tokens, embedding) of chunks (text, n_tokens, embedding and the columns they are ordered by), numbered from 0."""
+    return numbered(chunks.where("text IS NOT NULL"), "node_id", *order).select("node_id", "text", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def _layer_clusters(level: DataFrame, n: int, dim: int, threshold: float, least: float, ws: Scratch) -> tuple[DataFrame, float | None]:
+    """((node_id, cluster), silhouette) of a layer: a mixture over the whole table, or for few nodes what suits their number."""
+    if C.method(n) != "mixture":
+        few = ws.save(C.group_clusters(level.select(F.lit(0).alias("group"), "node_id", "embedding"), dim, threshold, least), "few")
+        return few.select("node_id", "cluster"), few.agg(F.max("silhouette")).first()[0] or 0.0
+    x = ws.save(M.reduced(level, n, dim), "reduced")
+    model, _ = M.fit_table(x, n, min(n // 2, 10))
+    found = ws.save(M.members(x, model, threshold), "members")
+    # by squared distances, which is linear in the nodes
+    hard = x.join(found.where("top").select("node_id", F.col("cluster").cast("double").alias("prediction")), "node_id").select("prediction", array_to_vector("x").alias("features"))
+    score = ClusteringEvaluator().evaluate(hard) if len(model[0]) > 1 and hard.select("prediction").distinct().count() > 1 else 0.0
+    if score >= least:
+        return found.select("node_id", "cluster"), score
+    # poor mixtures give way to halves, which need no pairs of nodes
+    halves = C.halved(level.select(F.lit(0).alias("group"), "node_id", "embedding"))
+    return halves.select("node_id", "cluster"), None
+
+
+def clustered(level: DataFrame, n: int, config: TreeConfig, ws: Scratch) -> DataFrame:
+    """(path, node_id): a layer's clusters. Those of more than 3 nodes and too many tokens are clustered again, all at once, down to ``depth``."""
+    dim, threshold = adjusted(level, config)
+    found, score = _layer_clusters(level, n, dim, threshold, config.least, ws)
+    open_ = found.select(F.col("cluster").cast("string").alias("path"), "node_id", F.lit(score).cast("double").alias("silhouette"))
+    done = None
+    for depth in range(1, config.depth):
+        rows = ws.save(open_.join(level.select("node_id", "n_tokens"), "node_id"), f"clusters-{depth}")
+        large = rows.groupBy("path").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.max("silhouette").alias("s"))
+        large = large.where((F.col("n") > 3) & (F.col("t") > config.max_tokens) & (F.coalesce("s", F.lit(1.0)) >= 0.1)).select("path")
+        whole = rows.join(large, "path", "left_anti").select("path", "node_id")
+        done = whole if done is None else done.unionByName(whole)
+        again = rows.join(large, "path", "left_semi").join(level.select("node_id", "embedding"), "node_id")
+        parts = C.group_clusters(again.select(F.col("path").alias("group"), "node_id", "embedding"), dim, threshold, config.least)
+        open_ = ws.save(parts.select(F.concat_ws(".", "group", F.col("cluster").cast("string")).alias("path"), "node_id", "silhouette"), f"parts-{depth}")
+    rest = open_.select("path", "node_id")
+    return ws.save(rest if done is None else done.unionByName(rest), "paths")
+
+
+def summaries(members: DataFrame, limit: int) -> DataFrame:
+    """(parent_id, text, n_tokens): the first sentences of a parent's members (parent_id, node_id, text), in order, up to a token limit.
+
+    A sentence has a token at least, so no more members than the limit can count: the rank
+    limit comes before the shuffle, and a task never holds more of a parent. In place of a remote model.
     """
-    v = nodes.select("node_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
-    n = v.count()
-    reduced = _saved(PCA(k=min(dim, n - 1), inputCol="raw", outputCol="x").fit(v).transform(v).select("node_id", "x"), "reduced").persist()
-    best = None
-    for k in [k for k in sizes if 2 * k <= n] or [1]:
-        model = GaussianMixture(k=k, seed=SEED, featuresCol="x").fit(reduced)
-        d = min(dim, n - 1)
-        bic = -2 * model.summary.logLikelihood + (k * d + k * d * (d + 1) / 2 + k - 1) * log(n)
-        if best is None or bic < best[0]:
-            best = bic, model
-    p = best[1].transform(reduced).select("node_id", vector_to_array("probability").alias("p"))
-    top = F.array_max("p")
-    many = p.select("node_id", top.alias("top"), F.posexplode("p").alias("cluster", "p"))
-    # ties for the likeliest would keep all, so the first is taken by its place
-    first = F.array_position("all", F.col("top")) - 1
-    many = many.join(p.select("node_id", F.col("p").alias("all")), "node_id").where((F.col("p") > threshold) | ((F.col("top") <= threshold) & (F.col("cluster") == first)))
-    out = _saved(many.select("node_id", "cluster", "p"), "members")
-    reduced.unpersist()
-    return out
-
-
-def build(leaves: DataFrame, layers: int = 5, dim: int = 10, threshold: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): nodes (node_id, layer, embedding), edges (parent_id, child_id), many to many.
-
-    ``leaves`` hold (node_id, embedding). A parent's vector is its members' mean, of length
-    1. Layers end at ``dim`` + 1 nodes or fewer. Each layer is a written table.
+    first = members.select("parent_id", "node_id", F.get(T.sentences(T.one_line(F.col("text"))), F.lit(0)).alias("s")).where("s IS NOT NULL").withColumn("n", T.token_count(F.col("s")))
+    w = Window.partitionBy("parent_id").orderBy("node_id")
+    first = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    # the first sentence stays, however long
+    first = first.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("upto") <= limit) | (F.col("rank") == 1))
+    held = F.array_sort(F.collect_list(F.struct("rank", "s")))
+    return first.groupBy("parent_id").agg(F.array_join(F.transform(held, lambda m: m["s"]), " ").alias("text"), F.sum("n").alias("n_tokens"))
+
+
+def means(members: DataFrame) -> DataFrame:
+    """(parent_id, embedding): the members' mean vector, of length 1 (a zero mean stays zero)."""
+    cells = members.select("parent_id", F.posexplode("embedding").alias("i", "x")).groupBy("parent_id", "i").agg(F.avg("x").alias("x"))
+    m = cells.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m")).select("parent_id", F.expr("transform(m, p -> p.x)").alias("m"))
+    size = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x))
+    return m.select("parent_id", F.transform("m", lambda x: x / F.greatest(size, F.lit(1e-12))).alias("embedding"))
+
+
+def build(nodes: DataFrame, config: TreeConfig = TreeConfig()) -> tuple[Tree, BuildMetrics]:
+    """The tree over leaves (node_id, text, n_tokens, embedding), and what its building took.
+
+    Layers end at ``dim`` + 1 nodes or fewer, or where clusters would be no fewer than nodes.
+    A node may have several parents. Parents are numbered on from the highest node, in order of
+    their clusters, and clusters of the same members are one. Each layer is a written table.
+    Leaves without id or usable vector are left out; a null text is empty.
     """
-    level = _saved(leaves.where("node_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("node_id").cast("long").alias("node_id"), F.col("embedding").cast("array<double>").alias("embedding")), "layer-0")
-    nodes = level.withColumn("layer", F.lit(0))
-    edges = level.sparkSession.createDataFrame([], "parent_id long, child_id long")
-    for layer in range(1, layers + 1):
-        n, high = level.agg(F.count("*"), F.max("node_id")).first()
-        if n <= dim + 1:
+    began = time.time()
+    spark = nodes.sparkSession
+    ws = Scratch(spark, "tree")
+    fine = nodes.where(F.col("node_id").isNotNull() & usable(F.col("embedding")))
+    level = ws.save(fine.select(F.col("node_id").cast("long").alias("node_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"), F.col("embedding").cast("array<double>").alias("embedding")), "layer-0")
+    all_, edges = level.withColumn("layer", F.lit(0)), spark.createDataFrame([], EDGES)
+    total, high = level.agg(F.count("*"), F.max("node_id")).first()
+    n, made, built = total, total, 0
+    for layer in range(1, config.layers + 1):
+        if n <= config.dim + 1:
+            break
+        paths = clustered(level, n, config, ws)
+        # clusters by what they hold: two sums of hashes and the count tell member sets apart
+        same = paths.groupBy("path").agg(F.count("*").alias("k"), F.sum(F.xxhash64("node_id").cast("decimal(38,0)")).alias("a"), F.sum(F.hash("node_id").cast("long")).alias("b"))
+        names = numbered(same.groupBy("k", "a", "b").agg(F.min("path").alias("path")).select("path"), "parent_id", "path", start=high + 1)
+        parents = names.count()
+        if parents >= n:
             break
-        member = soft_clusters(level, dim, threshold)
-        link = member.select((F.col("cluster") + F.lit(high + 1)).cast("long").alias("parent_id"), F.col("node_id").alias("child_id"))
-        parts = link.join(level, F.col("child_id") == F.col("node_id")).select("parent_id", F.posexplode("embedding").alias("i", "x"))
-        mean = parts.groupBy("parent_id", "i").agg(F.avg("x").alias("x")).groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m"))
-        mean = mean.select(F.col("parent_id").alias("node_id"), F.expr("transform(m, p -> p.x)").alias("m"))
-        size = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x))
-        level = _saved(mean.select("node_id", F.transform("m", lambda x: x / F.greatest(size, F.lit(1e-12))).alias("embedding")), f"layer-{layer}")
-        nodes = nodes.unionByName(level.withColumn("layer", F.lit(layer)))
-        edges = edges.unionByName(link)
-    return nodes.select("node_id", "layer", "embedding"), edges
+        link = ws.save(paths.join(names, "path").select("parent_id", F.col("node_id").alias("child_id")), "links")
+        member = link.withColumnRenamed("child_id", "node_id").join(level, "node_id")
+        texts = summaries(member.select("parent_id", "node_id", "text"), config.summary_tokens)
+        level = means(member.select("parent_id", "embedding")).join(texts, "parent_id", "left")
+        level = ws.save(level.select(F.col("parent_id").alias("node_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "embedding"), f"layer-{layer}")
+        all_, edges = all_.unionByName(level.withColumn("layer", F.lit(layer))), edges.unionByName(link)
+        n, high, made, built = parents, high + parents, made + parents, layer
+    return Tree(all_.select("node_id", "layer", "text", "n_tokens", "embedding"), edges), BuildMetrics(time.time() - began, total, made, built)
