@@ -1,9 +1,11 @@
 import hashlib
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.oracle import assert_same
 from treeloom.llm import bpe, embedding_dedup, language_id, licenses, line_dedup, lm_scoring, minhash_dedup, mixing, queries, suffix_dedup, topk
 
@@ -122,6 +124,68 @@ def test_topk(spark):
     assert topk.top_k(v.where("false"), F.lit(True)).count() == 0
 
 
+def test_topk_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=2 + i % 3).tolist()) for i in range(300)] + [(7, rng.normal(size=3).tolist()), (300, [1e300, 1e300]), (303, [2e300, -1e300])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(v, F.col("vec_id") % 10 == 0, k=4, block=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    z = [(i, [math.floor(1024 * x) for x in e]) for i, e in rows]
+    high = (1 << 63) - 1
+    for q, e in z:
+        if q % 10 == 0:
+            s = sorted((-max(-high - 1, min(high, sum(a * b for a, b in zip(e, c)))), i) for i, c in z if len(c) == len(e) and i != q)
+            assert got[q] == [(i, -x) for x, i in s[:4]], q
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_blocks_of_full_lists(spark, block):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 900, 120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for j in rng.integers(0, 120, i % 4):
+            words[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    link = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    want = list(range(60))
+    for _ in range(60):
+        for i, j in link:
+            want[i] = want[j] = min(want[i], want[j])
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component_id for r in minhash_dedup.near_duplicates(d, block=block).collect()}
+    assert [got[i] for i in range(60)] == want
+    x = rng.normal(size=(1, 8)) + rng.normal(size=(90, 8)) * 0.35
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    links = {r.id: r.n_links for r in embedding_dedup.near_duplicates(v, block=block).collect()}
+    near = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert near.sum() > 500 and sum(links.values()) >= 0.99 * near.sum() and all(links[i] <= near[i] for i in range(90))
+
+
+def test_names_that_clash(spark):
+    d = spark.createDataFrame([(1, "Released under the MIT License.", "en", "a", 1, 2, 3, 4)], "doc_id long, text string, lang string, source string, ids int, row int, rows int, copies int")
+    d = d.withColumns({c: F.lit(1) for c in ("_ids", "_i", "_t", "_n", "tie", "rest", "key", "lang_pred", "_gone", "id")})
+    assert licenses.scan(d).drop("n_sentences", "n_known", "matches").columns == d.columns
+    for out in (mixing.mixed_documents(d), corpus_pipeline.dedup_near(spark, d, SF), corpus_pipeline.dedup_lines(spark, d, SF)):
+        assert out.columns == d.columns and out.first().rows == 3
+
+
+def test_digests(docs):
+    import tiktoken
+
+    path, pattern = bpe.default_vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=dict(bpe.read_ranks(path)), special_tokens={})
+    out = bpe.digests(docs.withColumn("copy", F.col("text")), path, pattern).collect()
+    assert len(out) == len(ROWS)
+    for r in out:
+        ids = enc.encode_ordinary(r.copy or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.copy or "").encode()).hexdigest())
+
+
 def test_minhash(docs, none):
     got = {r.id: r for r in minhash_dedup.near_duplicates(docs).collect()}
     assert got[5].component_id == 4 and not got[5].kept and got[4].kept

@@ -46,6 +46,55 @@ SENTENCES = {
     18: "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     19: "Licensed under the MIT License.",
     20: "All rights reserved.",
+    21: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    22: "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    23: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    24: "This software is provided 'as-is', without any express or implied warranty.",
+    25: "In no event will the authors be held liable for any damages arising from the use of this software.",
+    26: "This is free and unencumbered software released into the public domain.",
+    27: "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    28: "Boost Software License - Version 1.0 - August 17th, 2003",
+    29: "Distributed under the Boost Software License, Version 1.0.",
+    30: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    31: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    32: "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    33: "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    34: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    35: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    36: "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    37: "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution.",
+    38: "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
+    39: "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\").",
+    40: "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL.",
+    41: "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    42: "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    43: "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    44: "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    45: "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law.",
+    46: "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    47: "This program is free software. It comes without any warranty, to the extent permitted by applicable law.",
+    48: "Licensed under the Academic Free License version 3.0",
+    49: "Licensed under the Open Software License version 3.0",
+    50: "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer in this position and unchanged.",
+    51: "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    52: "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    53: "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    54: "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    55: "You may distribute under the terms of either the GNU General Public License or the Artistic License.",
+    56: "This software is licensed under the PSF license agreement for Python.",
+    57: "By obtaining, using and/or copying this work, you (the licensee) agree that you have read, understood, and will comply with the following terms and conditions.",
+    58: "Licensed under the Microsoft Public License.",
+    59: "Licensed under the terms of the ISC license.",
+    60: "Licensed under the BSD 3-Clause License.",
+    61: "Licensed under the BSD 2-Clause License.",
+    62: "SPDX-License-Identifier: MIT",
+    63: "SPDX-License-Identifier: Apache-2.0",
+    64: "SPDX-License-Identifier: GPL-2.0-only",
+    65: "SPDX-License-Identifier: GPL-2.0-or-later",
+    66: "SPDX-License-Identifier: GPL-3.0-only",
+    67: "SPDX-License-Identifier: BSD-3-Clause",
+    68: "SPDX-License-Identifier: BSD-2-Clause",
+    69: "SPDX-License-Identifier: MPL-2.0",
 }
 
 # Rules in order, a licence expression and the identifiers that stand one after another.
@@ -53,6 +102,7 @@ RULES = [
     ("MIT", (5, 6, 7)),
     ("Apache-2.0", (8, 9)),
     ("GPL-3.0-or-later", (10, 11)),
+    ("BSD-4-Clause", (12, 13, 14, 51)),
     ("BSD-3-Clause", (12, 13, 14, 15)),
     ("BSD-2-Clause", (12, 13, 14)),
     ("MPL-2.0", (16, 17)),
@@ -67,6 +117,58 @@ RULES = [
     ("CC-BY-4.0", (18,)),
     ("MPL-2.0", (16,)),
     ("LicenseRef-proprietary", (20,)),
+    ("ISC", (21, 22)),
+    ("ISC", (21,)),
+    ("0BSD", (23, 22)),
+    ("0BSD", (23,)),
+    ("Zlib", (24, 25)),
+    ("Unlicense", (26, 27)),
+    ("Unlicense", (26,)),
+    ("BSL-1.0", (28,)),
+    ("BSL-1.0", (29,)),
+    ("BSL-1.0", (52,)),
+    ("GPL-2.0-or-later", (30, 11)),
+    ("GPL-2.0-only", (31, 11)),
+    ("LGPL-2.1-or-later", (32, 33)),
+    ("AGPL-3.0-or-later", (34, 11)),
+    ("LGPL-3.0-or-later", (35, 11)),
+    ("GPL-2.0-or-later", (30,)),
+    ("GPL-2.0-only", (31,)),
+    ("LGPL-2.1-or-later", (32,)),
+    ("AGPL-3.0-or-later", (34,)),
+    ("LGPL-3.0-or-later", (35,)),
+    ("EPL-2.0", (36,)),
+    ("EPL-1.0", (37,)),
+    ("MPL-1.1", (38,)),
+    ("CDDL-1.0", (39,)),
+    ("EUPL-1.2", (40,)),
+    ("CC-BY-SA-4.0", (41,)),
+    ("CC-BY-NC-4.0", (42,)),
+    ("CC-BY-ND-4.0", (43,)),
+    ("CC-BY-NC-SA-4.0", (44,)),
+    ("CC0-1.0", (45,)),
+    ("WTFPL", (46,)),
+    ("WTFPL", (47,)),
+    ("AFL-3.0", (48,)),
+    ("OSL-3.0", (49,)),
+    ("BSD-2-Clause-Views", (50,)),
+    ("OFL-1.1", (53,)),
+    ("PostgreSQL", (54,)),
+    ("Artistic-1.0-Perl OR GPL-1.0-or-later", (55,)),
+    ("PSF-2.0", (56,)),
+    ("W3C", (57,)),
+    ("MS-PL", (58,)),
+    ("ISC", (59,)),
+    ("BSD-3-Clause", (60,)),
+    ("BSD-2-Clause", (61,)),
+    ("MIT", (62,)),
+    ("Apache-2.0", (63,)),
+    ("GPL-2.0-only", (64,)),
+    ("GPL-2.0-or-later", (65,)),
+    ("GPL-3.0-only", (66,)),
+    ("BSD-3-Clause", (67,)),
+    ("BSD-2-Clause", (68,)),
+    ("MPL-2.0", (69,)),
 ]
 
 #: Between pieces: line breaks, or white space after a full stop, question or exclamation mark.
@@ -93,13 +195,10 @@ def sentence_ids(text: Column, sentences: dict[int, str]) -> Column:
     known = sorted(((normalised(x), i) for i, x in sentences.items()), key=lambda k: -len(k[0]))
     book = F.array(*(F.struct(F.lit(f" {x} ").alias("words"), F.lit(rf"\|{ITEM}{x.replace(' ', '[ |]')}(?=\|)").alias("run"), F.lit(f"|<{i}>").alias("id")) for x, i in known))
 
-    def step(state, sentence):
-        # few texts hold a sentence's words, so the pattern is seldom tried
-        found = F.when(F.contains(state["words"], sentence["words"]), F.regexp_replace(state["pieces"], sentence["run"], sentence["id"]))
-        return F.struct(F.coalesce(found, state["pieces"]).alias("pieces"), state["words"].alias("words"))
-
-    start = F.transform(F.array(pieces), lambda p: F.struct(p.alias("pieces"), F.translate(p, "|", " ").alias("words")))
-    found = F.aggregate(book, F.get(start, F.lit(0)), step, lambda s: s["pieces"])
+    # few texts hold a sentence's words, so few patterns are tried; pieces and words are computed once
+    held = F.transform(F.array(pieces), lambda p: F.struct(p.alias("pieces"), F.translate(p, "|", " ").alias("words")))
+    tried = lambda t: F.aggregate(F.filter(book, lambda s: F.contains(t["words"], s["words"])), t["pieces"], lambda now, s: F.regexp_replace(now, s["run"], s["id"]))
+    found = F.get(F.transform(held, tried), F.lit(0))
     return F.transform(F.filter(F.split(found, r"\|"), lambda p: p != ""), lambda p: F.when(p.startswith("<"), F.substring_index(F.substring(p, 2, 20), ">", 1).cast("int")).otherwise(0))
 
 
@@ -109,8 +208,8 @@ def scan(docs: DataFrame, text_col: str = "text", sentences: dict[int, str] | No
     Rules are numbered from 1. Columns of these names are replaced.
     """
     sentences, rules = sentences or SENTENCES, RULES if rules is None else rules
-    ids = docs.withColumn("_ids", sentence_ids(F.col(text_col), sentences))
-    seq = F.array_join(F.transform("_ids", lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), sentence_ids(F.col(f"`{text_col}`"), sentences).alias("ids"))
+    seq = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
     book = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(name).alias("license"), F.lit("".join(f"<{i}>" for i in run)).alias("run")) for n, (name, run) in enumerate(rules, 1)))
     start = F.struct(seq.alias("seq"), F.array().cast("array<struct<rule:int,license:string,n:int>>").alias("hits"))
 
@@ -121,10 +220,10 @@ def scan(docs: DataFrame, text_col: str = "text", sentences: dict[int, str] | No
         hit = F.array(F.struct(rule["rule"].alias("rule"), rule["license"].alias("license"), n.alias("n")))
         return F.struct(rest.alias("seq"), F.when(n > 0, F.concat(state["hits"], hit)).otherwise(state["hits"]).alias("hits"))
 
-    known = F.size(F.filter("_ids", lambda i: i > 0))
+    known = F.size(F.filter("ids", lambda i: i > 0))
     hits = F.when(known > 0, F.aggregate(book, start, step, lambda s: s["hits"])).otherwise(F.array().cast("array<struct<rule:int,license:string,n:int>>"))
-    new = {"n_sentences": F.size("_ids").cast("long"), "n_known": known.cast("long"), "matches": hits}
-    return ids.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
+    new = {"n_sentences": F.size("ids").cast("long"), "n_known": known.cast("long"), "matches": hits}
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ bins down to k scores; summed, they show the bin that holds the kth, and the nex
 divides that bin, until it is one score wide. Then all scores above it are whole, and those equal to it are
 taken by smaller vec_id.
 
-Blocks are rows of packed vectors, and the join is of blocks: the query set is stated by
-the caller and grows with the data, so neither side is broadcast as a whole or collected.
-
-Cases: vectors that are null, empty, hold a null or a non-finite component, or differ in
-length from the most frequent length take no part; fewer than k candidates: all; ties go to the smaller vec_id; rows that share
-a vec_id are a candidate each and one query (the least vector), and no candidate of their own; scores beyond a long are cut to its range.
+Blocks are rows of packed vectors of one length. Blocks of rows are dealt to as many parts as
+there are cores, and every block of queries goes to each part of its length under a join key of
+its own: the query set is stated by the caller and grows with the data, so neither side is
+broadcast as a whole or collected, and no side meets the other by a cross join.
+
+Cases: vectors that are null, empty, or hold a null or a non-finite component take no part; vectors
+meet those of their length alone; fewer than k candidates: all; ties go to the smaller vec_id; rows that share
+a vec_id are a candidate each and, for each length, one query (the least vector), and no candidate of their own; scores beyond a long are cut to its range.
 """
 
 from __future__ import annotations
@@ -31,27 +33,22 @@ def _blocks(scale: float, block: int):
     """Packs vectors into blocks: ids and scaled components, as float64 (whole numbers)."""
 
     def run(batches):
-        ids, rows, n = [], [], 0
+        held: dict[int, list] = {}
 
-        def out():
-            m = np.vstack(rows)
-            return pa.RecordBatch.from_pydict({"ids": [np.concatenate(ids).astype("<i8").tobytes()], "dim": pa.array([m.shape[1]], pa.int32()), "data": [m.tobytes()], "size": pa.array([float(np.abs(m).max(initial=0))])})
+        def out(dim):
+            ids, m = (np.concatenate(x) for x in zip(*held.pop(dim)))
+            return pa.RecordBatch.from_pydict({"ids": [ids.astype("<i8").tobytes()], "dim": pa.array([dim], pa.int32()), "data": [m.tobytes()], "size": pa.array([float(np.abs(m).max(initial=0))])})
 
         for batch in batches:
-            vec = batch["vec"]
-            flat = vec.flatten()
-            dim = len(flat) // len(vec) if len(vec) else 0
-            if not len(vec):
-                continue
-            m = np.floor(scale * flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), dim))
-            ids.append(batch["id"].to_numpy())
-            rows.append(m)
-            n += len(vec)
-            if n >= block:
-                yield out()
-                ids, rows, n = [], [], 0
-        if rows:
-            yield out()
+            dims = np.diff(batch["vec"].offsets.to_numpy())
+            for dim in np.unique(dims).tolist():
+                own = batch.filter(pa.array(dims == dim))
+                m = np.floor(scale * own["vec"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+                held.setdefault(dim, []).append((own["id"].to_numpy(), m))
+                if sum(len(i) for i, _ in held[dim]) >= block:
+                    yield out(dim)
+        for dim in list(held):
+            yield out(dim)
 
     return run
 
@@ -72,15 +69,15 @@ def _pairs(batches):
             qi, ci = np.frombuffer(g("q_ids"), np.int64), np.frombuffer(g("ids"), np.int64)
             q, c = (np.frombuffer(g(x), np.float64).reshape(-1, dim) for x in ("q_data", "data"))
             lows, highs = (np.frombuffer(g(x), np.int64) for x in ("lows", "highs"))
-            yield g("q_block"), qi, ci, _scores(q, c, g("size") * g("q_size")), lows, highs
+            yield dim, qi, ci, _scores(q, c, g("size") * g("q_size")), lows, highs
 
 
 def _histograms(k: int, bins: int):
     """Counts of the highest bins of each query in its range [low, high]; bin ``bins`` is above the range."""
 
     def run(batches):
-        total: dict[int, dict[int, int]] = {}
-        for _, qi, ci, s, lows, highs in _pairs(batches):
+        total: dict[tuple[int, int], dict[int, int]] = {}
+        for dim, qi, ci, s, lows, highs in _pairs(batches):
             for j, query in enumerate(qi.tolist()):
                 own = s[j][ci != query]
                 low, high = int(lows[j]), int(highs[j])
@@ -89,13 +86,13 @@ def _histograms(k: int, bins: int):
                     own = np.partition(own, len(own) - k)[len(own) - k :]
                 width = (high - low) // bins + 1
                 at = np.where(own > high, bins, ((own - low).astype(np.uint64) // np.uint64(width)).astype(np.int64))
-                mine = total.setdefault(query, {})
+                mine = total.setdefault((query, dim), {})
                 for b, n in zip(*(x.tolist() for x in np.unique(at, return_counts=True))):
                     mine[b] = mine.get(b, 0) + n
-        rows = [(q, b, n) for q, x in total.items() for b, n in x.items()]
+        rows = [(*q, b, n) for q, x in total.items() for b, n in x.items()]
         for i in range(0, len(rows), 50_000):
             part = list(zip(*rows[i : i + 50_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int64())], names=["query_id", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.int64())], names=["query_id", "dim", "bin", "n"])
 
     return run
 
@@ -122,36 +119,34 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, id_col
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("q"))
     fine = F.col("id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(F.coalesce(fine, F.lit(False)))
-    dim = v.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    v = v.where(F.size("vec") == (dim["d"] if dim else 0))
     packed = "ids binary, dim int, data binary, size double"
-    c = ws.save(v.select("id", "vec").mapInArrow(_blocks(scale, block), packed), "rows")
     v = ws.save(v, "vectors")
-    queries = v.where("q").groupBy("id").agg(F.min("vec").alias("vec"))
-    q = queries.mapInArrow(_blocks(scale, block // 8), packed)
-    q = ws.save(q.select(F.xxhash64("ids").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("size").alias("q_size")), "queries")
-    most = (c.agg(F.max("size")).first()[0] or 0.0) * (q.agg(F.max("q_size")).first()[0] or 0.0) * (dim["d"] if dim else 0)
-    reach = int(min(most, float(1 << 62)))
+    parts = F.lit(max(1, spark.sparkContext.defaultParallelism)).cast("long")
+    c = ws.save(v.select("id", "vec").mapInArrow(_blocks(scale, block), packed).withColumn("part", F.pmod(F.xxhash64("ids"), parts)), "rows")
+    queries = v.where("q").groupBy("id", F.size("vec").alias("dim")).agg(F.min("vec").alias("vec"))
+    q = queries.select("id", "vec").mapInArrow(_blocks(scale, block // 8), packed)
+    q = ws.save(q.select(F.xxhash64("dim", "ids").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("size").alias("q_size")), "queries")
 
     # each query's range of scores that holds its kth; (low, high) narrow from round to round
-    ids = queries.select("id")
-    span = ws.save(ids.select(F.col("id").alias("query_id"), F.lit(-reach).cast("long").alias("low"), F.lit(reach).cast("long").alias("high")), "range")
-    owners = ws.save(q.mapInArrow(_owners, "q_block long, pos int, query_id long"), "owners")
-    width = 2 * reach + 1
+    most = c.groupBy("dim").agg(F.max("size").alias("size")).join(q.groupBy("dim").agg(F.max("q_size").alias("q_size")), "dim")
+    reach = most.select("dim", F.least(F.col("size") * F.col("q_size") * F.col("dim"), F.lit(float(1 << 61))).cast("long").alias("reach"))  # one row for each length
+    owners = ws.save(q.mapInArrow(_owners, "q_block long, dim int, pos int, query_id long"), "owners")
+    span = ws.save(owners.select("query_id", "dim").join(reach, "dim").select("query_id", "dim", (-F.col("reach")).alias("low"), F.col("reach").alias("high")), "range")
     while True:
-        ranged = owners.join(span, "query_id").groupBy("q_block").agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("r"))
-        pairs = q.join(ranged, "q_block").mapInArrow(_pack_ranges, "q_block long, q_ids binary, q_data binary, q_size double, lows binary, highs binary")
-        pairs = ws.save(pairs, "pairs").crossJoin(c)
+        ranged = owners.join(span, ["query_id", "dim"]).groupBy("q_block").agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("r"))
+        blocks = q.join(ranged, "q_block").mapInArrow(_pack_ranges, "q_block long, dim int, q_ids binary, q_data binary, q_size double, lows binary, highs binary")
+        blocks = ws.save(blocks, "blocks").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        pairs = c.join(blocks, ["dim", "part"])
+        width = (span.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0) + 1
         if width <= 1:
             break
-        hist = pairs.mapInArrow(_histograms(k, bins), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        upto = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+        hist = pairs.mapInArrow(_histograms(k, bins), "query_id long, dim int, bin int, n long").groupBy("query_id", "dim", "bin").agg(F.sum("n").alias("n"))
+        upto = Window.partitionBy("query_id", "dim").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
         step = F.expr(f"(high - low) div {bins} + 1")
-        found = hist.withColumn("upto", F.sum("n").over(upto)).where((F.col("upto") >= k) & (F.col("bin") < bins)).groupBy("query_id").agg(F.max("bin").alias("bin"))
+        found = hist.withColumn("upto", F.sum("n").over(upto)).where((F.col("upto") >= k) & (F.col("bin") < bins)).groupBy("query_id", "dim").agg(F.max("bin").alias("bin"))
         new_low = F.when(F.col("bin").isNull(), F.col("low")).otherwise(F.col("low") + F.col("bin") * step)
         new_high = F.when(F.col("bin").isNull(), F.col("low")).otherwise(F.least(F.col("high"), F.col("low") + (F.col("bin") + 1) * step - 1))
-        span = ws.save(span.join(found, "query_id", "left").select("query_id", new_low.alias("low"), new_high.alias("high")), "range")
-        width = (span.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0) + 1
+        span = ws.save(span.join(found, ["query_id", "dim"], "left").select("query_id", "dim", new_low.alias("low"), new_high.alias("high")), "range")
     hits = pairs.mapInArrow(_winners(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -159,9 +154,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, id_col
 
 def _owners(batches):
     for batch in batches:
-        for b, ids in zip(batch["q_block"].to_pylist(), batch["q_ids"]):
+        for b, dim, ids in zip(batch["q_block"].to_pylist(), batch["dim"].to_pylist(), batch["q_ids"]):
             x = np.frombuffer(ids.as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), b)), pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x)], names=["q_block", "pos", "query_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), b)), pa.array(np.full(len(x), dim, np.int32)), pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x)], names=["q_block", "dim", "pos", "query_id"])
 
 
 def _pack_ranges(batches):
@@ -170,7 +165,7 @@ def _pack_ranges(batches):
         for r in batch["r"].to_pylist():
             lows.append(np.array([x["low"] for x in r], np.int64).tobytes())
             highs.append(np.array([x["high"] for x in r], np.int64).tobytes())
-        yield pa.RecordBatch.from_arrays([batch["q_block"], batch["q_ids"], batch["q_data"], batch["q_size"], pa.array(lows, pa.binary()), pa.array(highs, pa.binary())], names=["q_block", "q_ids", "q_data", "q_size", "lows", "highs"])
+        yield pa.RecordBatch.from_arrays([batch["q_block"], batch["dim"], batch["q_ids"], batch["q_data"], batch["q_size"], pa.array(lows, pa.binary()), pa.array(highs, pa.binary())], names=["q_block", "dim", "q_ids", "q_data", "q_size", "lows", "highs"])
 
 
 def op10_exact_topk(spark, sf_dir: str) -> DataFrame:
