@@ -82,16 +82,22 @@ def test_bpe(docs, none):
         assert codec.encode(t) == enc.encode_ordinary(t)
 
 
-@pytest.mark.parametrize("task_runs", [100_000, 1])
-def test_suffix(spark, docs, none, task_runs):
-    got = suffix_dedup.remove_repeats(docs.withColumn("n", F.monotonically_increasing_id()), task_runs=task_runs).orderBy("n").collect()
+@pytest.mark.parametrize("anchor_bytes", [1 << 22, 600, 1])
+def test_suffix(spark, docs, none, anchor_bytes):
+    got = suffix_dedup.remove_repeats(docs.withColumn("n", F.monotonically_increasing_id()), anchor_bytes=anchor_bytes).orderBy("n").collect()
     want = suffix_dedup.brute_force([r[1] for r in ROWS])
     assert [(r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got] == want
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-def test_suffix_table(spark):
-    got = queries.queries()["op6_suffix_dedup"](spark, SF).orderBy("doc_id").collect()
+@pytest.mark.parametrize("anchor_bytes", [None, 500])
+def test_suffix_table(spark, anchor_bytes):
+    if anchor_bytes is None:
+        got = queries.queries()["op6_suffix_dedup"](spark, SF)
+    else:
+        d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+        got = suffix_dedup.remove_repeats(d, anchor_bytes=anchor_bytes).withColumn("kept_sha256", F.sha2("kept", 256))
+    got = got.orderBy("doc_id").collect()
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == suffix_dedup.brute_force(texts)
 

@@ -14,8 +14,9 @@ different places.
 
 Cases: a null text is empty; texts under ``length`` bytes lose nothing; matches never
 cross documents; equal rows are different places, so both lose what they share; rows with
-a null doc_id take part; runs of one anchor beyond ``TASK_RUNS`` kinds aren't gathered: their windows are
-counted by hash in a shuffle instead.
+a null doc_id take part. Runs of one anchor beyond ``ANCHOR_BYTES`` aren't gathered: they are cut by the
+place of the anchor in the window into parts whose windows share all but ``STEP`` bytes, and parts that
+share those meet instead. Should even they pass the bound, windows are counted by their hashes in a shuffle.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from treeloom.llm.common import PACKED, Workspace, join_by_key, mix, pack_hashes, repeat_filter
 
-LENGTH, GRAM, PIECE, TASK_RUNS, TASK_BYTES = 200, 32, 1 << 19, 100_000, 1 << 20
+LENGTH, GRAM, PIECE, TASK_BYTES = 200, 32, 1 << 19, 1 << 20
+#: Bytes of one anchor that a task takes (its arrays are some 80 times that), and windows of a part of a run.
+ANCHOR_BYTES, STEP = 4 << 20, 21
 _MASK = np.uint64((1 << 20) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -207,6 +210,34 @@ def _judge(length: int, task_bytes: int):
     return run
 
 
+def _parts(length: int, step: int = STEP):
+    """Runs of too frequent anchors by parts: windows that hold their anchor at places of one class of ``step``.
+
+    Equal windows hold their anchors at equal places, so they are in parts of one class that share the
+    bytes which all windows of the class hold; a hash of those is the part's own anchor.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for a, key, n, d in zip(*(batch[c].to_pylist() for c in ("anchor", "run", "n", "data"))):
+                last = len(d) - length
+                h = mix(_gram_hashes(d)).astype(np.int64)
+                p = last + int(np.flatnonzero(h[last:] == a)[0])
+                for j in range((p - last) // step, p // step + 1):
+                    first, end = max(0, p - j * step - step + 1), min(last, p - j * step)
+                    part = d[first : end + length]
+                    name = b"%d %d " % (a, j)
+                    held = d[p - j * step : p - j * step + length - step + 1]
+                    own = int.from_bytes(xxhash.xxh3_64_digest(name + held), "little", signed=True)
+                    rows.append((own, key, first, xxhash.xxh3_128_digest(name + held + part), n, part))
+            if rows:
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["anchor", "whole", "at", "run", "n", "data"])
+
+    return run
+
+
 def _windows(length: int):
     def run(batches):
         for batch in batches:
@@ -259,41 +290,68 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch["row"], pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_n, pa.int64())], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def repeated_spans(d: DataFrame, ws: Workspace, length: int, task_runs: int, task_bytes: int) -> DataFrame:
+def _confirmed(rows: DataFrame, ws: Workspace, length: int, task_bytes: int) -> DataFrame:
+    """(run, spans) of what repeats in runs (anchor, run, n, data) whose anchors fit a task."""
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_judge(length, task_bytes), "run binary, spans binary")
+
+
+def _frequent(rows: DataFrame, ws: Workspace, length: int, anchor_bytes: int, task_bytes: int) -> DataFrame:
+    """(run, at, spans) of what repeats in runs whose anchors don't fit a task: spans count from ``at`` in the run."""
+    parts = ws.save(rows.mapInArrow(_parts(length), "anchor long, whole binary, at long, run binary, n long, data binary"), "parts")
+    kinds = ws.save(parts.groupBy("run").agg(F.min("anchor").alias("anchor"), F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("data").alias("data")), "part-kinds")
+    size = kinds.groupBy("anchor").agg(F.sum(F.length("data")).alias("bytes"))
+    kinds = ws.save(kinds.join(size, "anchor"), "part-sizes")
+    judged = _confirmed(kinds.where(F.col("bytes") <= anchor_bytes).drop("bytes", "rows"), ws, length, task_bytes)
+    many = ws.save(kinds.where(F.col("bytes") > anchor_bytes).mapInArrow(_windows(length), "window binary, run binary, at long"), "windows")
+    twice = ws.save(many.groupBy("window").agg(F.count("*").alias("rows")).where("rows > 1"), "twice")
+    counted = join_by_key(many, twice, "window", "rows").groupBy("run").agg(F.collect_list("at").alias("at")).mapInArrow(_spans(length), "run binary, spans binary")
+    copied = kinds.where((F.col("n") > 1) & (F.col("bytes") > anchor_bytes)).select("run", F.lit(None).cast("binary").alias("spans"))
+    verdict = ws.save(judged.unionByName(counted).unionByName(copied).join(kinds.select("run", "rows", F.length("data").alias("size")), "run"), "part-verdicts")
+    verdict = verdict.select("run", "rows", F.coalesce("spans", _whole("size")).alias("spans"))
+    return join_by_key(parts.select("whole", "at", "run"), verdict, "run", "rows").select(F.col("whole").alias("run"), "at", "spans")
+
+
+def _whole(size: str):
+    """The span (0, size), as two little-endian integers."""
+    return F.expr(f"unhex(concat('00000000', hex(reverse(unhex(lpad(hex({size}), 8, '0'))))))")
+
+
+def repeated_spans(d: DataFrame, ws: Workspace, length: int, anchor_bytes: int, task_bytes: int) -> DataFrame:
     """(id, th, pieces) of documents with repeats, from (id, th, text)."""
     spark = d.sparkSession
     packed = ws.save(d.select("text").mapInArrow(_pack(length), PACKED), "anchors")
     shared = spark.sparkContext.broadcast(repeat_filter(ws, packed))
     ws.drop(packed)
     occ = ws.save(d.mapInArrow(_occurrences(shared, length), "id long, th long, anchor long, run binary, n long, starts array<long>, data binary"), "runs")
-    kinds = ws.save(occ.groupBy("anchor", "run").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "kinds")
-    per = ws.save(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("rows").alias("rows"), F.sum("n").alias("total")).where("total > 1"), "per")
+    shared.destroy()
+    kinds = ws.save(occ.groupBy("anchor", "run").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.max(F.length("data")).alias("size")), "kinds")
+    per = ws.save(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("rows").alias("rows"), F.sum("n").alias("total"), F.sum("size").alias("bytes")).where("total > 1"), "per")
     # anchors with runs of several kinds: one row of each kind is confirmed, with its bytes
-    several = per.where("kinds > 1").select("anchor", "kinds", "rows")
+    several = per.where("kinds > 1").select("anchor", "bytes", "rows")
     rows = join_by_key(occ.select("anchor", "run", "data"), several, "anchor", "rows").dropDuplicates(["run"])
-    rows = ws.save(rows.join(kinds.select("run", "n"), "run").select("anchor", "run", "n", "data", "kinds"), "distinct")
-    few = rows.where(F.col("kinds") <= task_runs).repartition("anchor").sortWithinPartitions("anchor")
-    judged = few.mapInArrow(_judge(length, task_bytes), "run binary, spans binary")
-    many = ws.save(rows.where(F.col("kinds") > task_runs).mapInArrow(_windows(length), "window binary, run binary, at long"), "windows")
-    twice = ws.save(many.groupBy("window").agg(F.count("*").alias("rows")).where("rows > 1"), "twice")
-    counted = join_by_key(many, twice, "window", "rows").groupBy("run").agg(F.collect_list("at").alias("at")).mapInArrow(_spans(length), "run binary, spans binary")
-    alone = kinds.join(per.where("kinds = 1").select("anchor"), "anchor", "left_semi").select("run", F.lit(None).cast("binary").alias("spans"))
-    copied = rows.where("n > 1 AND kinds > %d" % task_runs).select("run", F.lit(None).cast("binary").alias("spans"))
-    verdict = judged.unionByName(counted).unionByName(alone).unionByName(copied)
+    rows = ws.save(rows.join(kinds.select("run", "n"), "run").select("anchor", "run", "n", "data", "bytes"), "distinct")
+    zero, none = F.lit(0).cast("long").alias("at"), F.lit(None).cast("binary").alias("spans")
+    judged = _confirmed(rows.where(F.col("bytes") <= anchor_bytes).drop("bytes"), ws, length, task_bytes).select("run", zero, "spans")
+    hot = rows.where(F.col("bytes") > anchor_bytes).drop("bytes")
+    alone = kinds.join(per.where("kinds = 1").select("anchor"), "anchor", "left_semi").select("run", zero, none)
+    copied = hot.where("n > 1").select("run", zero, none)
+    verdict = judged.unionByName(alone).unionByName(copied)
+    if not hot.isEmpty():
+        verdict = verdict.unionByName(_frequent(hot, ws, length, anchor_bytes, task_bytes))
     verdict = ws.save(verdict.join(kinds.select("run", F.col("rows").alias("rows")), "run"), "verdicts")
     hits = join_by_key(occ.select("id", "th", "run", "starts", F.length("data").alias("size")), verdict, "run", "rows")
-    whole = F.expr("unhex(concat('00000000', hex(reverse(unhex(lpad(hex(size), 8, '0'))))))")  # the span (0, size), as two little-endian integers
-    return hits.select("id", "th", F.struct("starts", F.coalesce("spans", whole).alias("spans")).alias("piece")).groupBy("id", "th").agg(F.collect_list("piece").alias("pieces"))
+    starts = F.transform("starts", lambda s: s + F.col("at")).alias("starts")
+    return hits.select("id", "th", F.struct(starts, F.coalesce("spans", _whole("size")).alias("spans")).alias("piece")).groupBy("id", "th").agg(F.collect_list("piece").alias("pieces"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, task_runs: int = TASK_RUNS, task_bytes: int = TASK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor_bytes: int = ANCHOR_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """The rows with ``kept binary``, n_bytes, n_removed and n_spans, without ``text_col``; columns of these names are replaced."""
     ws = Workspace(docs.sparkSession, "suffix_dedup")
     new = ("kept", "n_bytes", "n_removed", "n_spans")
     rest = [c for c in docs.columns if c != text_col and c not in new]
     th = F.xxhash64(text_col)
     d = docs.select(F.col(id_col).cast("long").alias("id"), th.alias("th"), F.col(text_col).alias("text"))
-    found = repeated_spans(d, ws, length, task_runs, task_bytes).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "pieces")
+    found = repeated_spans(d, ws, length, anchor_bytes, task_bytes).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "pieces")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(id_col).cast("long").alias("_i"), th.alias("_t"), F.col(text_col).alias("text"))
     joined = rows.join(found, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left").select("row", "text", "pieces")
     out = joined.mapInArrow(_cut, joined.select("row").schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long"))
