@@ -72,7 +72,10 @@ def semantic_boundaries(spark, sf):
 
 
 def chunk_documents(spark, sf):
-    """Chunks of all documents: adapted threshold, semantic boundaries, packing, quality, fallback."""
+    """Chunks of all documents: adapted threshold, semantic boundaries, packing, quality, fallback.
+
+    The documents have no headers, so the SQL takes one that counts as markdown for one section.
+    """
     return C.exploded(C.chunks(_docs(spark, sf)), "doc_id", "fallback")
 
 
@@ -277,7 +280,9 @@ ORACLES = {
     "greedy_chunks": f"WITH {_CHUNKS} SELECT * FROM k",
     "semantic_boundaries": f"WITH {_OPEN} SELECT doc_id, pos FROM o WHERE sim < 0.75",
     "chunk_documents": f"""WITH {_OPEN},
-p AS (SELECT doc_id, list({{'s': s, 'n': n, 'open': coalesce(sim < adapted, false)}} ORDER BY pos) AS items FROM o GROUP BY doc_id),
+i AS (SELECT doc_id, list({{'s': s, 'n': n, 'open': coalesce(sim < adapted, false)}} ORDER BY pos) AS items FROM o GROUP BY doc_id),
+w AS (SELECT doc_id, {_SCORE} > 0.1 AND {_N.format('text')} <= 100 AS whole, {_N.format('text')} AS n, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+p AS (SELECT i.doc_id, CASE WHEN whole THEN [{{'s': w.t, 'n': w.n, 'open': false}}] ELSE items END AS items FROM i JOIN w ON w.doc_id = i.doc_id),
 f AS (SELECT doc_id, {_fold("p", "items")}), c AS (SELECT doc_id, {_DONE} AS c FROM f),
 q AS (SELECT doc_id, list_transform(c, lambda x: {{'text': x.text, 'n_tokens': x.n_tokens, 'q': {_Q.format('x')}}}) AS c FROM c),
 b AS (SELECT doc_id, c, list_avg([x.q FOR x IN c]) < 0.8 AS fallback FROM q),
