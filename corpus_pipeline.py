@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from treeloom.llm import bpe, language_id, line_dedup, minhash_dedup, mixing
 from treeloom.llm.common import Workspace
 
-#: Below this score no machine of a level decided for the language predicted.
+#: Least product of the two levels' scores. With two families of two languages the winner of a level has 0.5 at least, so only texts without a letter go.
 LEAST_SCORE = 0.25
 
 
@@ -60,7 +60,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: SQL can't express the learned and hashed stages; tests hold them against brute force.
+#: SQL can't express the learned and hashed stages; tests/llm/test_pipeline.py holds each of them against a brute-force version on sf0.001.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Files of a scratch table for each core: as many waves of tasks; partitions that share a task are worked off one by one.
+#: Files of a scratch table for each core: as many waves of tasks. Partitions that share a task are worked off one by one,
+#: so memory doesn't grow with it; raise it where a fourth of a core's share of the input is too much work to lose with a task.
 FILES = 4
 
 
