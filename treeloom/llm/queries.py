@@ -15,6 +15,7 @@ _MODULES = {
     "op8_embedding_dedup": ("embedding_dedup", "OP8_SQL"),
     "op9_minhash_dedup": ("minhash_dedup", "OP9_SQL"),
     "op10_exact_topk": ("topk", "OP10_SQL"),
+    "op11_conversation_repair": ("conversation_repair", "OP11_SQL"),
 }
 
 
