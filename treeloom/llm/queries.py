@@ -16,6 +16,7 @@ _MODULES = {
     "op9_minhash_dedup": ("minhash_dedup", "OP9_SQL"),
     "op10_exact_topk": ("topk", "OP10_SQL"),
     "op11_conversation_repair": ("conversation_repair", "OP11_SQL"),
+    "op12_embedding_whitening": ("whitening", None),
 }
 
 
