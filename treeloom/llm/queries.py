@@ -17,6 +17,7 @@ _MODULES = {
     "op10_exact_topk": ("topk", "OP10_SQL"),
     "op11_conversation_repair": ("conversation_repair", "OP11_SQL"),
     "op12_embedding_whitening": ("whitening", None),
+    "op13_toxicity": ("toxicity", None),
 }
 
 
