@@ -145,6 +145,26 @@ def test_topk_of_several_lengths(spark):
             assert got[q] == [(i, -x) for x, i in s[:4]], q
 
 
+def test_topk_keeps_scores_at_the_ends_of_a_long(spark):
+    rows = [(100, [1.8e6]), (1, [-1.8e6]), (2, [-0.9e6]), (3, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in topk.top_k(v, F.col("vec_id") == 100).orderBy("rank").collect()]
+    q = 1024 * 1800000
+    assert got == [(1, 3, q * 1024), (2, 2, -q * 1024 * 900000), (3, 1, -q * q)]
+    # scores over the whole range of a long, and beyond it on both sides, in few bins
+    rng = np.random.default_rng(6)
+    xs = [*(rng.uniform(-1, 1, 150) * 3e6).tolist(), 9e9, -9e9, -8e9, 2.96e6, -2.96e6]
+    v = spark.createDataFrame([(i, [x]) for i, x in enumerate(xs)], "vec_id long, embedding array<double>")
+    z, high = [math.floor(1024 * x) for x in xs], (1 << 63) - 1
+    for k in (3, 158):
+        got = [(r.vec_id, r.score) for r in topk.top_k(v, F.col("vec_id").isin(153, 154), k=k, block=32, bins=8).orderBy("query_id", "rank").collect()]
+        want = []
+        for q in (153, 154):
+            s = sorted((-max(-high - 1, min(high, z[q] * c)), i) for i, c in enumerate(z) if i != q)
+            want += [(i, -x) for x, i in s[:k]]
+        assert got == want
+
+
 @pytest.mark.parametrize("block", [4, 512])
 def test_blocks_of_full_lists(spark, block):
     rng = np.random.default_rng(8)
@@ -219,7 +239,27 @@ def test_embedding_caps_grow_with_the_table():
         # pairs that the choice of caps has not seen
         assert embedding_dedup.modelled_misses(64, codes, k, trials=6001) <= 6
     assert caps == sorted(caps) and caps[0] < caps[2]
-    assert embedding_dedup.design(50_000, 2) == (1, 1)
+    # filters at every size, and few dimensions need no more of them
+    for n, dim in ((1, 64), (500, 64), (2000, 64), (50_000, 2), (50_000, 7), (10, 1)):
+        codes, k = embedding_dedup.design(n, dim)
+        assert codes ** embedding_dedup.parts_of(dim) == 256 and k < 40
+
+
+@pytest.mark.parametrize("n", [60, 500, 3000])
+def test_embedding_links_planted_in_64_dimensions(spark, n):
+    """Pairs at cosines of 0.85 to 0.95 among vectors that are far from each other; those from 0.9 on are found."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(2 * n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = x[n:] - (x[n:] * x[:n]).sum(1, keepdims=True) * x[:n]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = np.linspace(0.85, 0.95, n)[:, None]
+    x[n:] = (c * x[:n] + np.sqrt(1 - c * c) * side) * rng.uniform(0.1, 9, (n, 1))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(v).collect()}
+    near = c[:, 0] >= 0.9
+    found = np.array([got[n + i] == (1, i, False) and got[i] == (1, i, True) for i in range(n)])
+    assert found[near].sum() >= 0.999 * near.sum() and all(got[i][0] == got[n + i][0] == 0 for i in np.flatnonzero(~near))
 
 
 def test_embedding_links_against_brute_force(spark):

@@ -7,7 +7,8 @@ with it, so each vector's bound is its own quantile of the code; they are list-d
 parts, best first, without looking at the other filters. Vectors meet in the filters that they
 share, and are verified by cosine in double precision. The number of caps grows with the number of
 vectors: random pairs at the cosine bound go through the code itself, and caps are added until
-none of them misses. Lengths with no more vectors than a block are compared whole.
+none of them misses. There are 256 filters at least, so tables of any size go through them; vectors of
+few dimensions have a code of one part.
 
 Equal vectors are one entry with a number of rows. Lists of a filter are cut into blocks of
 bounded size, and pairs of blocks are compared as matrices, so no list is gathered in one task; a pair
@@ -36,6 +37,12 @@ COSINE, PARTS, BLOCK, SEED = 0.9, 2, 512, 20240301
 CAPS, TRIALS = 16, 4000
 #: Members that a filter has on average: the number of filters follows the number of vectors.
 MEMBERS = 128
+#: Filters at least, and the dimensions from which a code has several parts and grows; with fewer, a link's share of the directions is large, and more filters only cost caps.
+FEWEST, DIVIDED = 256, 8
+
+
+def parts_of(dim: int, parts: int = PARTS) -> int:
+    return parts if dim >= DIVIDED else 1
 
 
 class CapCode:
@@ -86,20 +93,17 @@ def modelled_misses(dim: int, codes: int, caps: int, cosine: float = COSINE, par
     return int((both[:, 1:] != both[:, :-1]).all(1).sum())
 
 
-def design(n: int, dim: int, cosine: float = COSINE, parts: int = PARTS, caps: int = CAPS, members: int = MEMBERS, block: int = BLOCK, trials: int = TRIALS) -> tuple[int, int]:
-    """(codes of a part, caps of a vector) for n vectors.
-
-    One filter for all, so an exact comparison, if they fill a block at most or caps would cost as many comparisons.
-    """
-    if n <= block:
-        return 1, 1
-    while caps * members < n:
-        codes = max(16, math.ceil((n * caps / members) ** (1 / parts)))
+def design(n: int, dim: int, cosine: float = COSINE, parts: int = PARTS, caps: int = CAPS, members: int = MEMBERS, trials: int = TRIALS) -> tuple[int, int]:
+    """(codes of a part, caps of a vector) for n vectors: filters by their number, caps until no trial misses."""
+    parts = parts_of(dim, parts)
+    while True:
+        filters = max(FEWEST, n * caps / members) if dim >= DIVIDED else FEWEST
+        codes = math.ceil(filters ** (1 / parts))
+        caps = min(caps, codes**parts)
         # few trials first, as they already rule most numbers out
-        if not any(modelled_misses(dim, codes, caps, cosine, parts, t) for t in (trials // 8, trials)):
+        if caps == codes**parts or not any(modelled_misses(dim, codes, caps, cosine, parts, t) for t in (trials // 8, trials)):
             return codes, caps
         caps = math.ceil(caps * 1.25)
-    return 1, 1
 
 
 def _matrix(col) -> np.ndarray:
@@ -119,7 +123,7 @@ def _decode(parts: int, designs: dict[int, tuple[int, int]]):
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 codes, most = designs[dim]
                 if dim not in books:
-                    books[dim] = CapCode(dim, parts, codes)
+                    books[dim] = CapCode(dim, parts_of(dim, parts), codes)
                 caps = books[dim].caps(x, most)
                 yield pa.RecordBatch.from_arrays([part["rep"], part["rows"], pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in caps], pa.binary()), pa.array(list(caps), pa.list_(pa.int64())), pa.array(np.full(len(x), dim, np.int32))], names=["rep", "rows", "unit", "caps", "filter", "dim"])
 
@@ -230,7 +234,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     v = ws.save(v.withColumn("ok", F.coalesce(fine, F.lit(False))).withColumn("key", F.when(F.col("ok"), F.sha2(F.array_join(F.transform("vec", lambda x: (x + F.lit(0.0)).cast("string")), ",").cast("binary"), 256))), "vectors")
     entries = ws.save(v.where("ok").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.min("vec").alias("vec")), "entries")
     sizes = entries.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()
-    designs = {r.dim: design(r.n, r.dim, cosine, parts, caps, members, block) for r in sizes}
+    designs = {r.dim: design(r.n, r.dim, cosine, parts, caps, members) for r in sizes}
     coded = entries.select("rep", "rows", "vec").mapInArrow(_decode(parts, designs), "rep long, rows long, unit binary, caps binary, filter array<long>, dim int")
     coded = ws.save(coded, "coded")
     # filters with one member meet nobody

@@ -27,6 +27,8 @@ from treeloom.llm.common import Workspace
 
 K, SCALE, BLOCK, BINS = 10, 1024, 2048, 1024
 LONG = (1 << 63) - 1
+#: Counts that a task holds before it gives them out.
+HELD = 200_000
 
 
 def _blocks(scale: float, block: int):
@@ -77,6 +79,15 @@ def _histograms(k: int, bins: int):
 
     def run(batches):
         total: dict[tuple[int, int], dict[int, int]] = {}
+        held = 0
+
+        def out():
+            rows = [(*q, b, n) for q, x in total.items() for b, n in x.items()]
+            total.clear()
+            for i in range(0, len(rows), 50_000):
+                part = list(zip(*rows[i : i + 50_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.int64())], names=["query_id", "dim", "bin", "n"])
+
         for dim, qi, ci, s, lows, highs in _pairs(batches):
             for j, query in enumerate(qi.tolist()):
                 own = s[j][ci != query]
@@ -85,14 +96,18 @@ def _histograms(k: int, bins: int):
                 if len(own) > k:  # the kth of all is no lower than the kth of some
                     own = np.partition(own, len(own) - k)[len(own) - k :]
                 width = (high - low) // bins + 1
-                at = np.where(own > high, bins, ((own - low).astype(np.uint64) // np.uint64(width)).astype(np.int64))
+                # differences of two longs fit an unsigned long, where they wrap as they should
+                above = own.astype(np.uint64) - np.uint64(low % (1 << 64))
+                at = np.where(own > high, bins, (above // np.uint64(width)).astype(np.int64))
                 mine = total.setdefault((query, dim), {})
+                before = len(mine)
                 for b, n in zip(*(x.tolist() for x in np.unique(at, return_counts=True))):
                     mine[b] = mine.get(b, 0) + n
-        rows = [(*q, b, n) for q, x in total.items() for b, n in x.items()]
-        for i in range(0, len(rows), 50_000):
-            part = list(zip(*rows[i : i + 50_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.int64())], names=["query_id", "dim", "bin", "n"])
+                held += len(mine) - before
+            if held > HELD:
+                yield from out()
+                held = 0
+        yield from out()
 
     return run
 
@@ -129,23 +144,25 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, id_col
 
     # each query's range of scores that holds its kth; (low, high) narrow from round to round
     most = c.groupBy("dim").agg(F.max("size").alias("size")).join(q.groupBy("dim").agg(F.max("q_size").alias("q_size")), "dim")
-    reach = most.select("dim", F.least(F.col("size") * F.col("q_size") * F.col("dim"), F.lit(float(1 << 61))).cast("long").alias("reach"))  # one row for each length
+    bound = F.col("size") * F.col("q_size") * F.col("dim")
+    reach = most.select("dim", F.when(bound < float(1 << 62), F.ceil(bound).cast("long")).otherwise(LONG).alias("reach"))  # one row for each length
     owners = ws.save(q.mapInArrow(_owners, "q_block long, dim int, pos int, query_id long"), "owners")
-    span = ws.save(owners.select("query_id", "dim").join(reach, "dim").select("query_id", "dim", (-F.col("reach")).alias("low"), F.col("reach").alias("high")), "range")
+    span = ws.save(owners.select("query_id", "dim").join(reach, "dim").select("query_id", "dim", (-F.col("reach") - 1).alias("low"), F.col("reach").alias("high")), "range")
+    wide = lambda c: F.col(c).cast("decimal(20,0)")  # noqa: E731  (a range may be as wide as all longs)
+    step = F.floor((wide("high") - wide("low")) / bins) + 1
     while True:
         ranged = owners.join(span, ["query_id", "dim"]).groupBy("q_block").agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("r"))
         blocks = q.join(ranged, "q_block").mapInArrow(_pack_ranges, "q_block long, dim int, q_ids binary, q_data binary, q_size double, lows binary, highs binary")
         blocks = ws.save(blocks, "blocks").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
         pairs = c.join(blocks, ["dim", "part"])
-        width = (span.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0) + 1
+        width = int(span.agg(F.max(wide("high") - wide("low"))).first()[0] or 0) + 1
         if width <= 1:
             break
         hist = pairs.mapInArrow(_histograms(k, bins), "query_id long, dim int, bin int, n long").groupBy("query_id", "dim", "bin").agg(F.sum("n").alias("n"))
         upto = Window.partitionBy("query_id", "dim").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-        step = F.expr(f"(high - low) div {bins} + 1")
         found = hist.withColumn("upto", F.sum("n").over(upto)).where((F.col("upto") >= k) & (F.col("bin") < bins)).groupBy("query_id", "dim").agg(F.max("bin").alias("bin"))
-        new_low = F.when(F.col("bin").isNull(), F.col("low")).otherwise(F.col("low") + F.col("bin") * step)
-        new_high = F.when(F.col("bin").isNull(), F.col("low")).otherwise(F.least(F.col("high"), F.col("low") + (F.col("bin") + 1) * step - 1))
+        new_low = F.when(F.col("bin").isNull(), F.col("low")).otherwise((wide("low") + F.col("bin") * step).cast("long"))
+        new_high = F.when(F.col("bin").isNull(), F.col("low")).otherwise(F.least(wide("high"), wide("low") + (F.col("bin") + 1) * step - 1).cast("long"))
         span = ws.save(span.join(found, ["query_id", "dim"], "left").select("query_id", "dim", new_low.alias("low"), new_high.alias("high")), "range")
     hits = pairs.mapInArrow(_winners(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
