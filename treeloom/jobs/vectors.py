@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.functions import text as T
 from treeloom.functions.vector import distance
+from treeloom.operators import index as I
 from treeloom.operators import query_cache as Q
 from treeloom.operators import retrieval as R
+from treeloom.operators import ward as W
+from treeloom.sources.scratch import Scratch
 
 
 def _nodes(spark, sf) -> DataFrame:
@@ -83,6 +87,34 @@ def similar_cache(spark, sf):
     return Q.similar(asked, cache, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
+def _indexed(metric):
+    """The ten nearest from a saved index."""
+
+    def run(spark, sf):
+        n = _nodes(spark, sf)
+        index = I.build(n.select("node_id", "embedding"), Scratch(spark, "indexes").path(metric), metric)
+        hits = I.load(spark, index.path).search(_queries(n))
+        if metric == "inner":
+            return hits.select("query_id", "rank", "node_id", (F.round(-F.col("d"), 6) + 0.0).alias("score"))
+        return hits.select("query_id", "rank", "node_id", (F.round("d", 6) + 0.0).alias("distance"))
+
+    return run
+
+
+def index_chunks(spark, sf):
+    """The five chunks of all documents that are nearest to each text of the benchmark, and how many cells of their index were read."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    index = I.from_documents(docs, T.letter_vector, Scratch(spark, "indexes").path("chunks"))
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select((-F.col("item_id") - 1).alias("query_id"), T.letter_vector(F.col("text")).alias("q"))
+    return index.search(asked, 5).withColumn("d", F.round("d", 6) + 0.0)
+
+
+def ward_cut(spark, sf):
+    """All vectors as one group: Ward's cut into four."""
+    e = _nodes(spark, sf).select(F.lit(0).alias("g"), F.col("node_id").alias("id"), F.col("embedding").alias("vec"))
+    return W.cuts(e, 4).select(F.col("id").alias("node_id"), F.get("labels", F.lit(2)).alias("cluster"))
+
+
 def early_termination(spark, sf):
     """What a reader of 200 tokens takes of the ten nearest; the confidence is low enough that both ways past a full budget are taken."""
     n = _nodes(spark, sf)
@@ -92,6 +124,7 @@ def early_termination(spark, sf):
 
 BUDGET, SURE = 200, 0.4
 QUERIES = {"knn_cosine": _knn("cosine"), "knn_l1": _knn("l1"), "knn_l2": _knn("l2"), "knn_linf": _knn("linf"), "knn_inner_product": _knn("inner")}
+QUERIES |= {"index_cosine": _indexed("cosine"), "index_l2": _indexed("l2"), "index_inner_product": _indexed("inner"), "index_chunks": index_chunks, "ward_cut": ward_cut}
 QUERIES |= {f.__name__: f for f in (ann_budget, budget_strict, threshold_select, beam_two_level, cluster_inertia, similar_cache, early_termination)}
 
 _V = "v AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS z FROM embeddings)"
@@ -120,6 +153,7 @@ def _upto(metric, k):
 _C = "c AS (SELECT label, list(x ORDER BY i) AS z FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(1, len(z) + 1)) AS i, unnest(z) AS x FROM v) GROUP BY label, i) GROUP BY label)"
 ORACLES = {
     **{f"knn_{name}": _sql(metric) for name, metric in (("cosine", "cosine"), ("l1", "l1"), ("l2", "l2"), ("linf", "linf"), ("inner_product", "inner"))},
+    **{f"index_{name}": _sql(metric) for name, metric in (("cosine", "cosine"), ("l2", "l2"), ("inner_product", "inner"))},
     "ann_budget": f"WITH {_V} SELECT query_id, rank, node_id, upto FROM ({_upto('inner', 35)}) WHERE upto - n_tokens <= 3500",
     "budget_strict": f"WITH {_V} SELECT query_id, rank, node_id, upto FROM ({_upto('cosine', 10)}) WHERE upto <= 200",
     "threshold_select": f"WITH {_V} SELECT query_id, rank, node_id, CASE WHEN d <= 0.7 THEN 'within' ELSE 'reference' END AS sense FROM ({_hits('cosine')})",

@@ -58,9 +58,9 @@ def _layer_clusters(level: DataFrame, n: int, dim: int, threshold: float, least:
     score = ClusteringEvaluator().evaluate(hard) if len(model[0]) > 1 and hard.select("prediction").distinct().count() > 1 else 0.0
     if score >= least:
         return found.select("node_id", "cluster"), score
-    # poor mixtures give way to halves, which need no pairs of nodes
-    halves = C.halved(level.select(F.lit(0).alias("group"), "node_id", "embedding"))
-    return halves.select("node_id", "cluster"), None
+    # poor mixtures give way to Ward's method, even if that is no better
+    found = ws.save(C.warded(level.select(F.lit(0).alias("group"), "node_id", "embedding"), min(n // 2, 5)), "ward")
+    return found.select("node_id", "cluster"), found.agg(F.max("silhouette")).first()[0]
 
 
 def clustered(level: DataFrame, n: int, config: TreeConfig, ws: Scratch) -> DataFrame:
