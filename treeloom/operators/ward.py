@@ -28,7 +28,8 @@ from treeloom.sources.scratch import Scratch
 
 #: Clusters of a group that end in one task; members of a block; blocks at most (their middles go to every task); places that blocks gather around.
 TAIL, BLOCK, BLOCKS, PLACES = 10_000, 1024, 4096, 512
-_PAIR = "lo long, hi long, height double"
+#: Rows that are scored beside one copy of their group's model.
+SCORED = 20_000
 
 
 def _costs(x: np.ndarray, size: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -365,21 +366,31 @@ def _joined(most: int):
 
 
 def _scored(batches):
-    """Sums of silhouettes by squared distances, for each group and cut."""
+    """Sums of silhouettes by squared distances, for each group and cut; a group's model stands ahead of its rows."""
     total: dict = {}
+    of, model = None, []
     for batch in batches:
-        x = _rows(batch) if batch.num_rows else []
-        for v, g, labels, model in zip(x, *(batch[c].to_pylist() for c in ("g", "labels", "model"))):
-            for k, label in enumerate(labels):
-                own = model[k]
-                d = [sum((a - b) ** 2 for a, b in zip(v, c["mean"])) + c["spread"] for c in own]
-                n = own[label]["n"]
-                a = d[label] * n / (n - 1) if n > 1 else 0.0
-                b = min((y for j, y in enumerate(d) if j != label), default=0.0)
-                s = (b - a) / max(a, b) if n > 1 and max(a, b) > 0 else 0.0
+        kind, keys = batch["kind"].to_numpy(), np.stack([batch["g"].to_numpy(), batch["salt"].to_numpy()], 1)
+        ends = np.flatnonzero(np.append((keys[1:] != keys[:-1]).any(1) | (kind[1:] != kind[:-1]), True)) + 1 if len(kind) else []
+        for at, end in zip([0, *ends[:-1]], ends):
+            if of != tuple(keys[at]):  # a group without cuts has no model
+                of, model = tuple(keys[at]), []
+            if not kind[at]:
+                model = [(np.array([c["mean"] for c in m]), np.array([c["spread"] for c in m]), np.array([c["n"] for c in m])) for m in batch["model"][int(at)].as_py()]
+                continue
+            part, g = batch.slice(at, end - at), int(keys[at, 0])
+            x, labels = _rows(part), part["labels"].flatten().to_numpy(zero_copy_only=False).reshape(end - at, -1)
+            for k, (mean, spread, n) in enumerate(model):
+                own, rows = labels[:, k], np.arange(len(x))
+                d = np.maximum((x * x).sum(1)[:, None] + (mean * mean).sum(1)[None] - 2 * (x @ mean.T), 0) + spread
+                a = d[rows, own] * n[own] / np.maximum(n[own] - 1, 1)
+                d[rows, own] = np.inf
+                b = d.min(1)
+                high = np.maximum(a, b)
+                s = np.where((n[own] > 1) & (high > 0), (b - a) / np.where(high > 0, high, 1), 0.0)
                 t = total.setdefault((g, k), [0.0, 0])
-                t[0] += s
-                t[1] += 1
+                t[0] += float(s.sum())
+                t[1] += len(s)
     rows = [(g, k, s, n) for (g, k), (s, n) in total.items()]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.float64(), pa.int64()))], names=["g", "k", "s", "n"])
@@ -395,7 +406,12 @@ def best(rows: DataFrame, most: int = 5, tail: int = TAIL) -> DataFrame:
     cells = cells.groupBy("g", "k", "label", "i").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
     means = cells.groupBy("g", "k", "label").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda c: c["mean"]).alias("mean"), F.sum("var").alias("spread"))
     model = means.groupBy("g", "k").agg(F.array_sort(F.collect_list(F.struct("label", "n", "mean", "spread"))).alias("c")).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda m: m["c"]).alias("model"))
-    scores = v.select("g", "vec", "labels").join(ws.save(model, "model"), "g").mapInArrow(_scored, "g long, k int, s double, n long")
+    # a group's model goes once to each part of its rows
+    salts = v.groupBy("g").agg(F.ceil(F.count("*") / SCORED).alias("salts"))
+    heads = ws.save(model, "model").join(salts, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "model")
+    body = v.join(salts, "g").select("g", F.pmod(F.xxhash64("id"), "salts").alias("salt"), F.lit(1).alias("kind"), "vec", "labels")
+    dealt = body.unionByName(heads, allowMissingColumns=True).repartition("g", "salt").sortWithinPartitions("g", "salt", "kind")
+    scores = dealt.mapInArrow(_scored, "g long, k int, s double, n long")
     scores = scores.groupBy("g", "k").agg((F.sum("s") / F.sum("n")).alias("silhouette"))
     won = ws.save(scores.groupBy("g").agg(F.max_by(F.struct("k", "silhouette"), F.struct("silhouette", -F.col("k"))).alias("w")), "won")
     out = v.join(won, "g", "left")
