@@ -191,10 +191,12 @@ def _searched(centres: np.ndarray, k: int, metric: str, held: int = 20_000):
                 if not take.any():
                     continue
                 x = np.frombuffer(g("data"), np.float64).reshape(-1, dim)
-                for query, row in zip(q_ids[take].tolist(), np.round(_distances(q[take], x, metric), 9)):
-                    names = ids
+                for query, most, row in zip(q_ids[take].tolist(), kth[take].tolist(), np.round(_distances(q[take], x, metric), 9)):
+                    row, names = row[row <= most], ids[row <= most]  # what is farther than the kth so far is none of the k nearest
                     if (names == query).any():
                         row, names = row[names != query], names[names != query]
+                    if not len(row):
+                        continue
                     ds, ns = best.get(query, (np.zeros(0), np.zeros(0, np.int64)))
                     if len(row) > k:  # whatever equals the kth stays
                         near = row <= np.partition(row, k - 1)[k - 1]
