@@ -209,7 +209,7 @@ _SUM = f"{_REQ}, s AS (SELECT user_id, count(*)::BIGINT AS total, (count(*) FILT
 _GR = "g AS (SELECT * REPLACE (rps * 100000 AS rps), high * 20 AS memory_mb, high / 5 AS cpu, CASE WHEN success < 80 OR avg_ms > 15000 THEN 'F' WHEN avg_ms > 10000 THEN 'D' WHEN avg_ms > 7000 THEN 'C' WHEN avg_ms > 5000 THEN 'B' ELSE 'A' END AS grade FROM s)"
 _LIST = "array_to_string([x FOR x IN [{0}] IF x IS NOT NULL], ';')"
 _RULE = lambda *r: _LIST.replace("{0}", ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in r))
-_BOTTLE = _RULE(("avg_ms > 15000", "Very slow AI response times"), ("avg_ms > 10000 AND avg_ms <= 15000", "Slow AI response times"), ("success < 80", "High error rate in AI conversations"), ("rps < 0.5", "Very low AI throughput"), ("timeouts > ok * 0.1", "High timeout rate in AI conversations"), ("p95_ms > avg_ms * 4", "High response time variance in AI"))
+_BOTTLE = _RULE(("avg_ms > 15000", "latency_very_high"), ("avg_ms > 10000 AND avg_ms <= 15000", "latency_high"), ("success < 80", "errors_high"), ("rps < 0.5", "throughput_low"), ("timeouts > ok * 0.1", "timeouts_high"), ("p95_ms > avg_ms * 4", "latency_spread"))
 _COUNT = " + ".join(f"({c})::INT" for c in ("avg_ms > 15000", "avg_ms > 10000 AND avg_ms <= 15000", "avg_ms > 7000 AND avg_ms <= 10000", "success < 80", "rps < 0.5", "rps >= 0.5 AND rps < 2", "timeouts > ok * 0.1", "p95_ms > avg_ms * 4"))
 _DAY = "d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, max(value) AS high, avg(value) AS mean, count(*) FILTER (event_type = 'error') AS errors, count(*) AS n, count(DISTINCT user_id) AS sessions, count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses FROM events GROUP BY 1)"
 _HIT = "round(100.0::DOUBLE * hits / greatest(hits + misses, 1), 2)"
@@ -218,14 +218,14 @@ _KEY = "substr(sha256(text || ':[(collapse, ' || (turn % 2 = 0) || '), (top_k, 1
 ORACLES = {
     "latency_percentiles": f"SELECT event_type, count(value)::BIGINT AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(min(value), 4) AS low, round(max(value), 4) AS high, round({_RANK.replace('{0}', '0.95')}, 4) AS p95, round({_RANK.replace('{0}', '0.99')}, 4) AS p99 FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "load_summary": f"WITH {_SUM} SELECT user_id, total, ok, failed, timeouts, tools, errors, unique_errors, round(success, 4) AS success, round(duration_s, 4) AS duration_s, round(rps, 4) AS rps FROM s",
-    "load_grade": f"WITH {_SUM}, {_GR} SELECT user_id, grade, {_BOTTLE} AS bottlenecks, {_RULE(('success >= 80 AND success < 90', 'Moderate AI conversation failure rate'), ('memory_mb > 8000', 'High memory usage'), ('cpu > 90', 'High CPU usage'))} AS warnings, {_RULE(('tools > 0 AND tools / greatest(ok, 1)::DOUBLE > 0.8', 'High RAG usage - consider cache optimization'), ('memory_mb > 8000', 'Enable memory-optimized configuration'), ('cpu > 90', 'Increase worker processes or optimize batch sizes'))} AS optimizations, ({_COUNT})::INT AS n_recommendations FROM g",
+    "load_grade": f"WITH {_SUM}, {_GR} SELECT user_id, grade, {_BOTTLE} AS bottlenecks, {_RULE(('success >= 80 AND success < 90', 'errors_some'), ('memory_mb > 8000', 'memory_high'), ('cpu > 90', 'cpu_high'))} AS warnings, {_RULE(('tools > 0 AND tools / greatest(ok, 1)::DOUBLE > 0.8', 'cache_retrievals'), ('memory_mb > 8000', 'save_memory'), ('cpu > 90', 'more_workers'))} AS optimizations, ({_COUNT})::INT AS n_recommendations FROM g",
     "tuned_config": f"WITH {_SUM}, {_GR} SELECT user_id, CASE WHEN rps < 0.5 THEN 200 WHEN memory_mb > 8000 THEN 50 WHEN avg_ms > 15000 THEN 200 WHEN avg_ms > 10000 THEN 150 ELSE 100 END AS batch_size, CASE WHEN rps < 0.5 THEN 16 WHEN memory_mb > 8000 THEN 5 WHEN avg_ms > 15000 THEN 16 WHEN avg_ms > 10000 THEN 13 ELSE 10 END AS concurrent, CASE WHEN memory_mb > 8000 THEN 1800 WHEN avg_ms > 15000 THEN 7200 ELSE 3600 END AS cache_ttl, CASE WHEN memory_mb > 8000 THEN 3 WHEN avg_ms > 15000 THEN 5 ELSE 10 END AS top_k, CASE WHEN rps < 0.5 THEN 8 ELSE 4 END AS workers FROM g",
-    "health_score": f"WITH {_DAY}, h AS (SELECT day, least(high / 5, 100) AS memory, 3 * mean AS cpu, errors * 5 > n AS store_error, substr(day, 9, 2)::INT % 5 <> 0 AS tree_ready FROM d), s AS (SELECT *, 100 - CASE WHEN memory > 90 THEN 30 WHEN memory > 80 THEN 15 ELSE 0 END - CASE WHEN cpu > 90 THEN 25 WHEN cpu > 80 THEN 10 ELSE 0 END - CASE WHEN store_error THEN 40 ELSE 0 END - CASE WHEN tree_ready THEN 0 ELSE 35 END AS raw FROM h) SELECT day, greatest(raw, 0)::BIGINT AS score, CASE WHEN raw >= 90 THEN 'excellent' WHEN raw >= 75 THEN 'good' WHEN raw >= 50 THEN 'degraded' ELSE 'critical' END AS status, {_RULE(('memory > 90', 'Critical memory usage'), ('memory > 80 AND memory <= 90', 'High memory usage'), ('cpu > 90', 'Critical CPU usage'), ('cpu > 80 AND cpu <= 90', 'High CPU usage'), ('store_error', 'Store connectivity issues'), ('NOT tree_ready', 'Tree not ready'))} AS issues FROM s",
-    "memory_alerts": f"WITH {_DAY}, a AS (SELECT day, high / 5 AS s, mean * 2 AS p, mean / 10 AS g FROM d) SELECT day, {_RULE(('s > 90', 'CRITICAL: System memory usage > 90%'), ('s > 80 AND s <= 90', 'WARNING: System memory usage > 80%'), ('p > 50', 'WARNING: Process memory usage > 50%'), ('g < 1', 'CRITICAL: Less than 1GB memory available'), ('g >= 1 AND g < 2', 'WARNING: Less than 2GB memory available'))} AS alerts FROM a",
+    "health_score": f"WITH {_DAY}, h AS (SELECT day, least(high / 5, 100) AS memory, 3 * mean AS cpu, errors * 5 > n AS store_error, substr(day, 9, 2)::INT % 5 <> 0 AS tree_ready FROM d), s AS (SELECT *, 100 - CASE WHEN memory > 90 THEN 30 WHEN memory > 80 THEN 15 ELSE 0 END - CASE WHEN cpu > 90 THEN 25 WHEN cpu > 80 THEN 10 ELSE 0 END - CASE WHEN store_error THEN 40 ELSE 0 END - CASE WHEN tree_ready THEN 0 ELSE 35 END AS raw FROM h) SELECT day, greatest(raw, 0)::BIGINT AS score, CASE WHEN raw >= 90 THEN 'excellent' WHEN raw >= 75 THEN 'good' WHEN raw >= 50 THEN 'degraded' ELSE 'critical' END AS status, {_RULE(('memory > 90', 'memory_critical'), ('memory > 80 AND memory <= 90', 'memory_high'), ('cpu > 90', 'cpu_critical'), ('cpu > 80 AND cpu <= 90', 'cpu_high'), ('store_error', 'store_unreachable'), ('NOT tree_ready', 'tree_missing'))} AS issues FROM s",
+    "memory_alerts": f"WITH {_DAY}, a AS (SELECT day, high / 5 AS s, mean * 2 AS p, mean / 10 AS g FROM d) SELECT day, {_RULE(('s > 90', 'system_critical'), ('s > 80 AND s <= 90', 'system_high'), ('p > 50', 'process_high'), ('g < 1', 'free_critical'), ('g >= 1 AND g < 2', 'free_low'))} AS alerts FROM a",
     "resource_peaks": f"WITH {_DAY} SELECT day, round(high, 6) AS peak, round(mean, 6) AS mean, round(n * 0.1::DOUBLE, 2) AS estimated_tree_mb FROM d",
-    "analytics_grade": f"WITH {_DAY}, a AS (SELECT day, mean / 20 AS r, 100.0::DOUBLE * errors / n / 10 AS e, n / 24.0::DOUBLE AS t, high / 5 AS p FROM d) SELECT day, CASE WHEN r > 5 OR e > 3 THEN 'F' WHEN r > 4 OR e > 2 THEN 'D' WHEN r > 3 OR e > 1.5 THEN 'C' WHEN r > 2.5 OR e > 1 THEN 'B' ELSE 'A' END AS grade, round(least(100, greatest(0, 100 - (r - 1) * 20 - e * 10)), 6) AS score, {_RULE(('r > 3', 'High Response Times Detected'), ('p > 85', 'Memory Usage Spike'), ('t < 10', 'Low Throughput'))} AS insights FROM a",
+    "analytics_grade": f"WITH {_DAY}, a AS (SELECT day, mean / 20 AS r, 100.0::DOUBLE * errors / n / 10 AS e, n / 24.0::DOUBLE AS t, high / 5 AS p FROM d) SELECT day, CASE WHEN r > 5 OR e > 3 THEN 'F' WHEN r > 4 OR e > 2 THEN 'D' WHEN r > 3 OR e > 1.5 THEN 'C' WHEN r > 2.5 OR e > 1 THEN 'B' ELSE 'A' END AS grade, round(least(100, greatest(0, 100 - (r - 1) * 20 - e * 10)), 6) AS score, {_RULE(('r > 3', 'latency_high'), ('p > 85', 'memory_peak'), ('t < 10', 'throughput_low'))} AS insights FROM a",
     "live_metrics": f"WITH {_DAY} SELECT day, n::BIGINT AS requests, errors::BIGINT AS errors, sessions::BIGINT AS sessions, round(100.0::DOUBLE * errors / greatest(n, 1), 2) AS error_rate, round(n / 86400.0::DOUBLE, 4) AS rps, {_HIT} AS hit_ratio FROM d",
-    "recommendations": f"WITH {_DAY}, a AS (SELECT day, {_HIT} / 100 AS h, mean / 20 AS q, n * 30 AS n FROM d), b AS (SELECT day, {_RULE(('h < 0.5', 'Low cache hit rate - consider increasing cache TTL'), ('h > 0.9', 'Excellent cache performance'), ('q > 5', 'High query times - consider enabling early termination'), ('q < 1', 'Excellent query performance'), ('n > 10000', 'Large tree detected - monitor memory usage'))} AS x FROM a) SELECT day, CASE WHEN x = '' THEN 'System performance is optimal' ELSE x END AS recommendations FROM b",
+    "recommendations": f"WITH {_DAY}, a AS (SELECT day, {_HIT} / 100 AS h, mean / 20 AS q, n * 30 AS n FROM d), b AS (SELECT day, {_RULE(('h < 0.5', 'keep_cached_longer'), ('h > 0.9', 'cache_good'), ('q > 5', 'stop_early'), ('q < 1', 'queries_fast'), ('n > 10000', 'tree_large'))} AS x FROM a) SELECT day, CASE WHEN x = '' THEN 'nothing_to_do' ELSE x END AS recommendations FROM b",
     "retrieval_metrics": "SELECT count(*)::BIGINT AS total, (count(*) FILTER (event_type = 'view'))::BIGINT AS cache_hits, round((count(*) FILTER (event_type = 'view'))::DOUBLE / count(*), 4) AS hit_rate, round(sum(value / 100) / count(*), 4) AS avg_s, round(sum(value / 100), 4) AS total_s, round(sum(floor(value)) / count(*), 4) AS avg_nodes, round(count(*) / greatest(sum(value / 100), 0.1), 4) AS qps, '0:' || count(*) || ';1:' || (count(*) FILTER (event_id % 3 >= 1)) || ';2:' || (count(*) FILTER (event_id % 3 = 2)) AS layer_usage FROM events",
     "historical_grid": " UNION ALL ".join(f"SELECT '{span}' AS span, strftime(TIMESTAMP '{NOW}' - i * INTERVAL '{minutes} minutes', '%Y-%m-%d %H:%M') AS slot, count(e.ts)::BIGINT AS n, round(avg(e.value), 6) AS mean, (count(*) FILTER (e.event_type = 'error'))::BIGINT AS errors FROM range({points}) g(i) LEFT JOIN events e ON e.ts <= TIMESTAMP '{NOW}' - i * INTERVAL '{minutes} minutes' AND e.ts > TIMESTAMP '{NOW}' - (i + 1) * INTERVAL '{minutes} minutes' GROUP BY i" for span, (points, minutes) in {"1h": (60, 1), "6h": (72, 5), "24h": (96, 15), "7d": (168, 60), "30d": (120, 360)}.items()),
     "user_sessions": "WITH e AS (SELECT *, coalesce((ts - lag(ts) OVER w > INTERVAL '30 minutes')::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, (sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM e) SELECT user_id, session, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM s GROUP BY user_id, session",

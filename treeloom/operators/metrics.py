@@ -1,6 +1,6 @@
 """Metrics of requests: ranks, latencies, grades, health, alerts, recommendations, grids of time.
 
-Every rule is a column; sums and counts are combined before they are shuffled, and values at
+Every rule is a column that gives a code; sums and counts are combined before they are shuffled, and values at
 given ranks are found by histogram, so that no group has to fit a task.
 """
 
@@ -60,7 +60,7 @@ def load_summary(requests: DataFrame, by: str) -> DataFrame:
 
 
 def _kept(*rules: tuple[Column, str]) -> Column:
-    """The texts of the rules that hold, in order."""
+    """The codes of the rules that hold, in order."""
     return F.array_compact(F.array(*(F.when(rule, text) for rule, text in rules)))
 
 
@@ -72,21 +72,21 @@ def load_grade(s: DataFrame) -> DataFrame:
     grade = F.when((ok < 80) | (ms > 15000), "F").when(ms > 10000, "D").when(ms > 7000, "C").when(ms > 5000, "B").otherwise("A")
     return s.withColumns({
         "grade": grade,
-        "bottlenecks": _kept((slow[0], "Very slow AI response times"), (slow[1], "Slow AI response times"), (ok < 80, "High error rate in AI conversations"), (F.col("rps") < 0.5, "Very low AI throughput"), (timeouts, "High timeout rate in AI conversations"), (high, "High response time variance in AI")),
+        "bottlenecks": _kept((slow[0], "latency_very_high"), (slow[1], "latency_high"), (ok < 80, "errors_high"), (F.col("rps") < 0.5, "throughput_low"), (timeouts, "timeouts_high"), (high, "latency_spread")),
         "recommendations": _kept(
-            (slow[0], "Check tree size and embedding model performance"), (slow[1], "Enable early termination and optimize batch size"), (slow[2], "Consider increasing concurrent operations"), (ok < 80, "Check tree integrity and store connectivity"),
-            (F.col("rps") < 0.5, "Scale up hardware or optimize configuration"), ((F.col("rps") >= 0.5) & (F.col("rps") < 2), "Consider async processing improvements"), (timeouts, "Increase timeout and optimize retrieval"), (high, "Enable request timeout and improve caching"),
+            (slow[0], "look_at_tree_and_embedder"), (slow[1], "stop_early"), (slow[2], "more_in_parallel"), (ok < 80, "look_at_tree_and_store"),
+            (F.col("rps") < 0.5, "more_hardware"), ((F.col("rps") >= 0.5) & (F.col("rps") < 2), "work_asynchronously"), (timeouts, "longer_timeout"), (high, "bound_requests"),
         ),
-        "warnings": _kept(((ok >= 80) & (ok < 90), "Moderate AI conversation failure rate"), (F.col("memory_mb") > 8000, "High memory usage"), (F.col("cpu") > 90, "High CPU usage")),
-        "optimizations": _kept(((F.col("tools") > 0) & (F.col("tools") / F.greatest("ok", F.lit(1)) > 0.8), "High RAG usage - consider cache optimization"), (F.col("memory_mb") > 8000, "Enable memory-optimized configuration"), (F.col("cpu") > 90, "Increase worker processes or optimize batch sizes")),
+        "warnings": _kept(((ok >= 80) & (ok < 90), "errors_some"), (F.col("memory_mb") > 8000, "memory_high"), (F.col("cpu") > 90, "cpu_high")),
+        "optimizations": _kept(((F.col("tools") > 0) & (F.col("tools") / F.greatest("ok", F.lit(1)) > 0.8), "cache_retrievals"), (F.col("memory_mb") > 8000, "save_memory"), (F.col("cpu") > 90, "more_workers")),
     })
 
 
 def tuned(graded: DataFrame, batch: int = 100, concurrent: int = 10, ttl: int = 3600, top_k: int = 10, workers: int = 4) -> DataFrame:
     """The rows with batch_size, concurrent, cache_ttl, top_k and workers that suit their bottlenecks; later rules overrule earlier ones."""
     has = lambda c, x: F.array_contains(c, x)
-    very, slow = has("bottlenecks", "Very slow AI response times"), has("bottlenecks", "Slow AI response times")
-    memory, low = has("warnings", "High memory usage"), has("bottlenecks", "Very low AI throughput")
+    very, slow = has("bottlenecks", "latency_very_high"), has("bottlenecks", "latency_high")
+    memory, low = has("warnings", "memory_high"), has("bottlenecks", "throughput_low")
     return graded.withColumns({
         "batch_size": F.when(low, min(batch * 2, 250)).when(memory, max(batch // 2, 25)).when(very, min(batch * 2, 300)).when(slow, int(batch * 1.5)).otherwise(batch),
         "concurrent": F.when(low, min(concurrent * 2, 16)).when(memory, max(concurrent // 2, 4)).when(very, min(concurrent + 6, 20)).when(slow, concurrent + 3).otherwise(concurrent),
@@ -100,15 +100,15 @@ def health(s: DataFrame) -> DataFrame:
     """The rows of (memory, cpu, store_error, tree_ready) with issues, score and status."""
     memory, cpu = F.col("memory"), F.col("cpu")
     less = F.when(memory > 90, 30).when(memory > 80, 15).otherwise(0) + F.when(cpu > 90, 25).when(cpu > 80, 10).otherwise(0) + F.when(F.col("store_error"), 40).otherwise(0) + F.when(F.col("tree_ready"), 0).otherwise(35)
-    issues = _kept((memory > 90, "Critical memory usage"), ((memory > 80) & (memory <= 90), "High memory usage"), (cpu > 90, "Critical CPU usage"), ((cpu > 80) & (cpu <= 90), "High CPU usage"), (F.col("store_error"), "Store connectivity issues"), (~F.coalesce("tree_ready", F.lit(False)), "Tree not ready"))
+    issues = _kept((memory > 90, "memory_critical"), ((memory > 80) & (memory <= 90), "memory_high"), (cpu > 90, "cpu_critical"), ((cpu > 80) & (cpu <= 90), "cpu_high"), (F.col("store_error"), "store_unreachable"), (~F.coalesce("tree_ready", F.lit(False)), "tree_missing"))
     raw = 100 - less
     return s.withColumns({"issues": issues, "score": F.greatest(raw, F.lit(0)), "status": F.when(raw >= 90, "excellent").when(raw >= 75, "good").when(raw >= 50, "degraded").otherwise("critical")})
 
 
 def memory_alerts(system: Column, process: Column, available_gb: Column) -> Column:
     return _kept(
-        (system > 90, "CRITICAL: System memory usage > 90%"), ((system > 80) & (system <= 90), "WARNING: System memory usage > 80%"), (process > 50, "WARNING: Process memory usage > 50%"),
-        (available_gb < 1, "CRITICAL: Less than 1GB memory available"), ((available_gb >= 1) & (available_gb < 2), "WARNING: Less than 2GB memory available"),
+        (system > 90, "system_critical"), ((system > 80) & (system <= 90), "system_high"), (process > 50, "process_high"),
+        (available_gb < 1, "free_critical"), ((available_gb >= 1) & (available_gb < 2), "free_low"),
     )
 
 
@@ -117,15 +117,15 @@ def analytics(s: DataFrame) -> DataFrame:
     r, e = F.col("response_s"), F.col("error_rate")
     grade = F.when((r > 5) | (e > 3), "F").when((r > 4) | (e > 2), "D").when((r > 3) | (e > 1.5), "C").when((r > 2.5) | (e > 1), "B").otherwise("A")
     score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 - (r - 1) * 20 - e * 10))
-    return s.withColumns({"grade": grade, "score": score, "insights": _kept((r > 3, "High Response Times Detected"), (F.col("peak_memory") > 85, "Memory Usage Spike"), (F.col("throughput") < 10, "Low Throughput"))})
+    return s.withColumns({"grade": grade, "score": score, "insights": _kept((r > 3, "latency_high"), (F.col("peak_memory") > 85, "memory_peak"), (F.col("throughput") < 10, "throughput_low"))})
 
 
 def recommendations(hit_rate: Column, query_s: Column, nodes: Column) -> Column:
     found = _kept(
-        (hit_rate < 0.5, "Low cache hit rate - consider increasing cache TTL"), (hit_rate > 0.9, "Excellent cache performance"), (query_s > 5, "High query times - consider enabling early termination"), (query_s < 1, "Excellent query performance"),
-        (nodes > 10000, "Large tree detected - monitor memory usage"),
+        (hit_rate < 0.5, "keep_cached_longer"), (hit_rate > 0.9, "cache_good"), (query_s > 5, "stop_early"), (query_s < 1, "queries_fast"),
+        (nodes > 10000, "tree_large"),
     )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("System performance is optimal")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("nothing_to_do")))
 
 
 def retrieval_metrics(retrievals: DataFrame) -> DataFrame:
