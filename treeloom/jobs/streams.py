@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from treeloom.streaming import calls as K
 from treeloom.streaming import windows as W
 
 
@@ -26,6 +27,14 @@ def stream_tool_calls(spark, sf):
     return out.select("call", F.date_format("day", "yyyy-MM-dd").alias("day"), "name", F.length("arguments").cast("long").alias("length"), F.md5("arguments").alias("digest"))
 
 
+def stream_call_fold(spark, sf):
+    """A user's events of a day as the pieces of a call, folded with state; calls that no piece has reached for a day by the watermark."""
+    e = W.read(spark, sf, "events").select(F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("call"), F.col("event_id").alias("seq"), F.col("event_type").alias("name"), F.col("props").alias("part"), F.lit(None).cast("long").alias("pieces"), "ts")
+    with K.state_store(spark):
+        out = W.drain(K.folded(e, 86400), "stream_call_fold")
+    return out.select("call", "name", "n_pieces", "outcome", F.length("arguments").cast("long").alias("length"), F.md5("arguments").alias("digest"))
+
+
 def stream_dashboard(spark, sf):
     """A frame for every five seconds with events, closed ones alone."""
     return W.drain(W.dashboard(W.read(spark, sf, "events")), "stream_dashboard").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
@@ -48,12 +57,13 @@ def conversations_rebuilt(spark, sf):
     return W.reassembled(f).withColumn("text", F.md5("text"))
 
 
-QUERIES = {f.__name__: f for f in (stream_windows, stream_sessions, stream_tool_calls, stream_dashboard, frame_stream, conversations_rebuilt)}
+QUERIES = {f.__name__: f for f in (stream_windows, stream_sessions, stream_tool_calls, stream_call_fold, stream_dashboard, frame_stream, conversations_rebuilt)}
 
 _MARK = "(SELECT max(ts) - INTERVAL '1 hour' FROM events)"
 _A = "a AS (SELECT conv_id, turn, text, turn % 4 = 1 AS tool FROM conversations WHERE role = 'assistant')"
 ORACLES = {
     "stream_tool_calls": f"SELECT user_id AS call, strftime(ts, '%Y-%m-%d') AS day, max_by(event_type, event_id) AS name, length(string_agg(props, '' ORDER BY event_id))::BIGINT AS length, md5(string_agg(props, '' ORDER BY event_id)) AS digest FROM events WHERE date_trunc('day', ts) + INTERVAL '1 day' <= {_MARK} GROUP BY user_id, strftime(ts, '%Y-%m-%d')",
+    "stream_call_fold": f"SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS call, max_by(event_type, event_id) AS name, count(*)::BIGINT AS n_pieces, 'timeout' AS outcome, length(string_agg(props, '' ORDER BY event_id))::BIGINT AS length, md5(string_agg(props, '' ORDER BY event_id)) AS digest FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d') HAVING max(ts) + INTERVAL '1 day' <= {_MARK}",
     "stream_dashboard": f"SELECT *, CASE WHEN errors * 2 > n THEN 'critical' WHEN errors > 0 THEN 'degraded' ELSE 'healthy' END AS status FROM (SELECT strftime(time_bucket(INTERVAL '5 seconds', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS n, (count(*) FILTER (event_type = 'error'))::BIGINT AS errors FROM events WHERE time_bucket(INTERVAL '5 seconds', ts) + INTERVAL '5 seconds' <= {_MARK} GROUP BY time_bucket(INTERVAL '5 seconds', ts))",
     "stream_windows": f"SELECT strftime(time_bucket(INTERVAL '15 minutes', ts), '%Y-%m-%d %H:%M') AS slot, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events WHERE time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' <= {_MARK} GROUP BY time_bucket(INTERVAL '15 minutes', ts), event_type",
     "stream_sessions": f"WITH e AS (SELECT *, coalesce((ts - lag(ts) OVER w >= INTERVAL '30 minutes')::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL '30 minutes' <= {_MARK}",

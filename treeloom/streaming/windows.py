@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.sources.scratch import shared_folder
+from treeloom.sources.scratch import exists, shared_folder
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int | None = None) -> DataFrame:
@@ -90,21 +90,21 @@ def reassembled(framed: DataFrame) -> DataFrame:
     return g.select("conv_id", "turn", "text", "n_pieces", "searches", "tools", F.when(~F.col("ended"), "timeout").when(F.col("n_pieces") == 0, "empty").otherwise("complete").alias("outcome"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is now and gives what it put out.
+def drain(stream: DataFrame, name: str, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Runs a stream over all there is now and gives what it put out, in earlier runs at the folder ``at`` too.
 
     In append mode that is the windows that the watermark has closed; ``complete`` has open ones
     too, but keeps every window in its state. Results and state go to the folder all executors
     share; each micro-batch writes a table of its own, so one that is run again leaves no row twice.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    base = at or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={0 if mode == 'complete' else n}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    if query.lastProgress is None:
+    if not exists(spark, f"{base}/out"):
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{base}/out").select(stream.columns)
