@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from treeloom.sources import frames as L
+from treeloom.sources.scratch import shared_folder
 from treeloom.streaming import calls as K
 from treeloom.streaming import windows as W
 
@@ -40,6 +44,16 @@ def stream_dashboard(spark, sf):
     return W.drain(W.dashboard(W.read(spark, sf, "events")), "stream_dashboard").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
+def dashboard_frames(spark, sf):
+    """The pushes of the dashboard as JSON frames, written by one stream to a frame log and read from it by another."""
+    spark.dataSource.register(L.FrameLog)
+    at = f"{shared_folder(spark)}/dashboard_frames-{uuid.uuid4().hex}"
+    pushes = W.dashboard(W.read(spark, sf, "events")).select(F.to_json(F.struct(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "errors", "status")).alias("frame"))
+    pushes.writeStream.format("frame_log").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/log").awaitTermination()
+    f = W.drain(spark.readStream.format("frame_log").load(f"{at}/log"), "dashboard_frames")
+    return f.select(F.from_json("frame", "start string, n long, errors long, status string").alias("f")).select("f.*")
+
+
 def _answers(spark, sf):
     return spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'assistant'").select("conv_id", "turn", "text", (F.col("turn") % 4 == 1).alias("tool"))
 
@@ -57,7 +71,7 @@ def conversations_rebuilt(spark, sf):
     return W.reassembled(f).withColumn("text", F.md5("text"))
 
 
-QUERIES = {f.__name__: f for f in (stream_windows, stream_sessions, stream_tool_calls, stream_call_fold, stream_dashboard, frame_stream, conversations_rebuilt)}
+QUERIES = {f.__name__: f for f in (stream_windows, stream_sessions, stream_tool_calls, stream_call_fold, stream_dashboard, dashboard_frames, frame_stream, conversations_rebuilt)}
 
 _MARK = "(SELECT max(ts) - INTERVAL '1 hour' FROM events)"
 _A = "a AS (SELECT conv_id, turn, text, turn % 4 = 1 AS tool FROM conversations WHERE role = 'assistant')"
@@ -70,3 +84,4 @@ ORACLES = {
     "frame_stream": f"WITH {_A}, f AS (SELECT conv_id, turn, 'stream_start' AS type, 1 AS frames, 0 AS characters FROM a UNION ALL SELECT conv_id, turn, 'stream_end', 1, 0 FROM a UNION ALL SELECT conv_id, turn, 'content_chunk', ceil(length(text) / 40.0), length(text) FROM a WHERE length(text) > 0 UNION ALL SELECT conv_id, turn, t, 1, 0 FROM a, (VALUES ('tool_calls_start'), ('rag_search'), ('rag_complete'), ('final_response_start')) v(t) WHERE tool) SELECT conv_id, turn, type, sum(frames)::BIGINT AS frames, sum(characters)::BIGINT AS characters FROM f GROUP BY ALL",
     "conversations_rebuilt": f"WITH {_A} SELECT conv_id, turn, md5(coalesce(text, '')) AS text, ceil(length(coalesce(text, '')) / 40.0)::BIGINT AS n_pieces, tool::INT::BIGINT AS searches, tool AS tools, CASE WHEN turn % 7 = 3 THEN 'timeout' WHEN length(coalesce(text, '')) = 0 THEN 'empty' ELSE 'complete' END AS outcome FROM a",
 }
+ORACLES["dashboard_frames"] = ORACLES["stream_dashboard"]
