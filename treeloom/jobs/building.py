@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treeloom.functions import text as T
+from treeloom.functions.vector import usable
 from treeloom.jobs import texts as X
 from treeloom.operators import clusters as C
+from treeloom.operators import mixtures as M
 from treeloom.operators import tree as B
+from treeloom.sources.scratch import Scratch
 
 
 def _table(spark, sf, name):
@@ -83,9 +86,11 @@ def cluster_quality(spark, sf):
 
 
 def optimal_clusters(spark, sf):
-    """The best number of clusters of all vectors, of up to six."""
-    e = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
-    return spark.createDataFrame([(C.optimal_clusters(e, 6),)], "k int")
+    """The best number of clusters of all vectors, of up to 50, by ten principal components."""
+    e = Scratch(spark, "optimal").save(_table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding").where(usable(F.col("embedding"))), "vectors")
+    n = e.count()
+    x = M.reduced(e, n, 10).withColumnRenamed("x", "embedding") if n > 2 else e
+    return spark.createDataFrame([(C.optimal_clusters(x),)], "k int")
 
 
 QUERIES = {f.__name__: f for f in (adaptive_parameters, cluster_memo, parent_summary, parent_vectors, pair_clusters, ward_clusters, mixture_clusters, cluster_methods, divided_clusters, cluster_quality, optimal_clusters)}
