@@ -83,3 +83,38 @@ def test_numbers(spark):
     got = numbered(df, "no", "v", start=5).collect()
     assert len(got) == 1000 and all(r.no == r.v + 5 and r.row == "x" for r in got)
     assert numbered(df.where("false"), "no", "v").count() == 0
+
+
+def test_plug_ins_from_documents_to_tree(spark):
+    import pyarrow as pa
+
+    from treeloom.functions.embedding import embedder
+
+    @F.arrow_udf("string")
+    def shout(texts: pa.Array) -> pa.Array:
+        return pa.array([f"{len(t)}!" for t in texts.to_pylist()])
+
+    def parity(level, n, config, ws):
+        return level.select((F.col("node_id") % 2).cast("string").alias("path"), "node_id")
+
+    seen = []
+    docs = spark.createDataFrame([(i, f"Document {i} tells of a subject. " * (3 + i % 3)) for i in range(30)] + [(30, None), (31, "")], "doc_id long, text string")
+    plugins = T.Plugins(shout, embedder(lambda texts: [[float(len(t)), 1.0] for t in texts]), F.length, parity, seen.append)
+    t, took = T.from_documents(docs, T.TreeConfig(layers=1, dim=2, max_tokens=500), T.Chunking(max_tokens=60, fallback=True), plugins)
+    low, high = t.nodes.where("layer = 0").orderBy("node_id").collect(), t.nodes.where("layer = 1").orderBy("node_id").collect()
+    assert len(low) == took.chunks >= 30 and [r.node_id for r in low] == list(range(len(low)))
+    assert all(r.n_tokens == len(r.text) - r.text.count(". ") and list(r.embedding) == [float(len(r.text)), 1.0] for r in low)
+    for side, r in enumerate(high):
+        own, held = [x.text for x in low if x.node_id % 2 == side], []
+        for x in own:
+            if held and sum(map(len, held)) + len(x) > 500:
+                break
+            held.append(x)
+        assert r.text == f"{len((chr(10) * 2).join(held))}!" and r.n_tokens == len(r.text) and list(r.embedding) == [float(len(r.text)), 1.0]
+    assert [(p.layer, p.nodes, p.tokens, p.links) for p in seen] == [(1, 2, sum(r.n_tokens for r in high), len(low))] and len(high) == 2
+
+
+def test_answerer_plug_in(spark):
+    asked = spark.createDataFrame([("q", "c"), ("r", None)], "question string, context string")
+    got = V.answered(asked, lambda q, c: F.concat(q, F.coalesce(c, F.lit("-")))).collect()
+    assert [r.answer for r in got] == ["qc", "r-"]

@@ -97,13 +97,13 @@ def quality(chunk: Column, n_tokens: Column, config: Chunking) -> Column:
     return (size + content) / 2
 
 
-def overlapped(chunks: Column, config: Chunking) -> Column:
+def overlapped(chunks: Column, config: Chunking, count: Callable[[Column], Column] = T.token_count) -> Column:
     """Each chunk with the last sentences of the chunk before it ahead, if both stay within 1.2 times the limit."""
 
     last = lambda parts: F.array_join(F.slice(parts, F.greatest(F.size(parts) - config.overlap, F.lit(0)) + 1, config.overlap), " ")
 
     def widened(c, ahead):
-        both = T.token_count(ahead) + c["n_tokens"]
+        both = count(ahead) + c["n_tokens"]
         more = F.struct(F.concat_ws(" ", ahead, c["text"]).alias("text"), both.alias("n_tokens"))
         return F.when(both <= 1.2 * config.max_tokens, more).otherwise(c)
 
@@ -115,11 +115,12 @@ def overlapped(chunks: Column, config: Chunking) -> Column:
     return T.let(chunks, with_last)
 
 
-def chunks(docs: DataFrame, config: Chunking = Chunking(), embed: Callable[[Column], Column] | None = None, text_col: str = "text") -> DataFrame:
+def chunks(docs: DataFrame, config: Chunking = Chunking(), embed: Callable[[Column], Column] | None = None, text_col: str = "text", count: Callable[[Column], Column] = T.token_count) -> DataFrame:
     """The rows with doc_type, ``chunks`` array<(text, n_tokens)>, their mean ``quality`` and whether they are a ``fallback``.
 
     ``embed`` makes an array of vectors from an array of sentences (a DataFrame expression or an
-    Arrow UDF); without it, letter shares. Columns of these names are replaced.
+    Arrow UDF); without it, letter shares. ``count`` is the tokenizer: a DataFrame expression for the
+    number of tokens of a text, as it stands inside arrays too. Columns of these names are replaced.
     """
     embed = embed or (lambda s: F.transform(s, T.letter_vector))
     pack = _packer(config.max_tokens)
@@ -128,17 +129,17 @@ def chunks(docs: DataFrame, config: Chunking = Chunking(), embed: Callable[[Colu
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text_col}`").alias("text"))
     d = d.select("row", "text", T.document_type(T.markdown_score(text)).alias("doc_type"), adapted(text, config).alias("semantic"))
     # a section that fits the limit stays whole; the others and other texts are cut into sentences
-    whole = lambda s: T.token_count(s["content"]) <= config.max_tokens
+    whole = lambda s: count(s["content"]) <= config.max_tokens
     cut = F.transform(sections(text), lambda s: F.when(whole(s), F.array(T.trimmed(s["content"]))).otherwise(T.sentences(s["content"])))
     d = d.withColumn("cut", F.when(F.col("doc_type") == "markdown", cut).otherwise(F.array(T.sentences(text))))
     d = d.withColumn("opens", F.flatten(F.transform("cut", lambda p: F.transform(p, lambda s, i: i == 0)))).withColumn("items", F.flatten("cut"))
     d = d.withColumn("vectors", embed(F.col("items"))).withColumn("near", boundaries(F.col("vectors"), F.col("semantic")))
-    d = d.withColumn("opens", F.zip_with("opens", "near", lambda a, b: a | b)).withColumn("tokens", F.transform("items", T.token_count))
+    d = d.withColumn("opens", F.zip_with("opens", "near", lambda a, b: a | b)).withColumn("tokens", F.transform("items", count))
     # the fallback's sentences are packed in the same call; their tokens are those of the items but for markdown
-    others = F.when(F.col("doc_type") == "markdown", F.transform(T.raw_sentences(text), T.token_count)).otherwise(F.col("tokens"))
+    others = F.when(F.col("doc_type") == "markdown", F.transform(T.raw_sentences(text), count)).otherwise(F.col("tokens"))
     d = d.withColumn("found", pack("tokens", "opens", others)).withColumn("chunks", texts_of(F.col("items"), F.col("found")["spans"]))
     if config.overlap > 0:
-        d = d.withColumn("chunks", overlapped(F.col("chunks"), config))
+        d = d.withColumn("chunks", overlapped(F.col("chunks"), config, count))
     d = d.withColumn("scores", F.transform("chunks", lambda c: quality(c["text"], c["n_tokens"], config)))
     d = d.withColumn("quality", T.mean(F.col("scores")))
     poor = (F.col("quality") < config.quality) & T.filled(text) & F.lit(config.fallback)

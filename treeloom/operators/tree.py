@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import text as T
@@ -15,6 +16,7 @@ from treeloom.functions.numbering import numbered
 from treeloom.functions.vector import usable
 from treeloom.operators import clusters as C
 from treeloom.operators import mixtures as M
+from treeloom.operators.chunking import Chunking, chunks, exploded
 from treeloom.sources.scratch import Scratch
 from treeloom.sources.trees import EDGES, BuildMetrics, Tree
 
@@ -97,6 +99,22 @@ def summaries(members: DataFrame, limit: int) -> DataFrame:
     return first.groupBy("parent_id").agg(F.array_join(F.transform(held, lambda m: m["s"]), " ").alias("text"), F.sum("n").alias("n_tokens"))
 
 
+def told(members: DataFrame, limit: int, summariser: Callable[[Column], Column], count: Callable[[Column], Column] = T.token_count) -> DataFrame:
+    """(parent_id, text, n_tokens): what a plug-in makes of the members' texts (parent_id, node_id, text), in order, up to a token limit.
+
+    The plug-in, an expression or an Arrow UDF from texts to texts, gets one text a parent; lines are
+    joined by a space, with an empty line after each member. The limit is that of a model's input:
+    members beyond it are left out, but for the first. Without text there is nothing to tell.
+    """
+    m = members.where(T.filled(F.col("text"))).select("parent_id", "node_id", T.one_line(F.col("text")).alias("s")).withColumn("n", F.greatest(count(F.col("s")), F.lit(1)))
+    w = Window.partitionBy("parent_id").orderBy("node_id")
+    m = m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    m = m.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("upto") <= limit) | (F.col("rank") == 1))
+    held = F.array_sort(F.collect_list(F.struct("rank", "s")))
+    whole = m.groupBy("parent_id").agg(F.array_join(F.transform(held, lambda h: h["s"]), "\n\n").alias("whole"))
+    return whole.select("parent_id", summariser(F.col("whole")).alias("text")).withColumn("n_tokens", count(F.col("text")).cast("long"))
+
+
 def means(members: DataFrame) -> DataFrame:
     """(parent_id, embedding): the members' mean vector, of length 1 (a zero mean stays zero)."""
     cells = members.select("parent_id", F.posexplode("embedding").alias("i", "x")).groupBy("parent_id", "i").agg(F.avg("x").alias("x"))
@@ -105,13 +123,43 @@ def means(members: DataFrame) -> DataFrame:
     return m.select("parent_id", F.transform("m", lambda x: x / F.greatest(size, F.lit(1e-12))).alias("embedding"))
 
 
-def build(nodes: DataFrame, config: TreeConfig = TreeConfig()) -> tuple[Tree, BuildMetrics]:
+@dataclass(frozen=True)
+class Plugins:
+    """What a build takes from outside; all have stand-ins.
+
+    ``summariser`` and ``embedder`` are from a column of texts to one of texts or vectors, ``tokenizer``
+    to one of counts (an expression, as it stands inside arrays too). ``clusters`` gives (path, node_id) of
+    a layer from (level, its number of nodes, configuration, scratch folder); a node may have several
+    paths. ``progress`` gets a ``Progress`` after each layer.
+    """
+
+    summariser: Callable[[Column], Column] | None = None
+    embedder: Callable[[Column], Column] | None = None
+    tokenizer: Callable[[Column], Column] = T.token_count
+    clusters: Callable[[DataFrame, int, TreeConfig, Scratch], DataFrame] = clustered
+    progress: Callable[[Progress], None] | None = None
+
+
+@dataclass(frozen=True)
+class Progress:
+    """A finished layer: its nodes, their tokens and links to the layer below, and seconds since the build began."""
+
+    layer: int
+    nodes: int
+    tokens: int
+    links: int
+    seconds: float
+
+
+def build(nodes: DataFrame, config: TreeConfig = TreeConfig(), plugins: Plugins = Plugins()) -> tuple[Tree, BuildMetrics]:
     """The tree over leaves (node_id, text, n_tokens, embedding), and what its building took.
 
     Layers end at ``dim`` + 1 nodes or fewer, or where clusters would be no fewer than nodes.
     A node may have several parents. Parents are numbered on from the highest node, in order of
     their clusters, and clusters of the same members are one. Each layer is a written table.
-    Leaves without id or usable vector are left out; a null text is empty.
+    Leaves without id or usable vector are left out; a null text is empty. Parents get the vectors of
+    their texts from the plug-in's embedder, or without one (or if it gives none) their members' mean.
+    Progress is observed as the layer is written, without a second scan.
     """
     began = time.time()
     spark = nodes.sparkSession
@@ -124,18 +172,40 @@ def build(nodes: DataFrame, config: TreeConfig = TreeConfig()) -> tuple[Tree, Bu
     for layer in range(1, config.layers + 1):
         if n <= config.dim + 1:
             break
-        paths = clustered(level, n, config, ws)
+        paths = plugins.clusters(level, n, config, ws)
         # clusters by what they hold: two sums of hashes and the count tell member sets apart
         same = paths.groupBy("path").agg(F.count("*").alias("k"), F.sum(F.xxhash64("node_id").cast("decimal(38,0)")).alias("a"), F.sum(F.hash("node_id").cast("long")).alias("b"))
         names = numbered(same.groupBy("k", "a", "b").agg(F.min("path").alias("path")).select("path"), "parent_id", "path", start=high + 1)
         parents = names.count()
         if parents >= n:
             break
-        link = ws.save(paths.join(names, "path").select("parent_id", F.col("node_id").alias("child_id")), "links")
+        links, whole = Observation(), Observation()
+        link = paths.join(names, "path").select("parent_id", F.col("node_id").alias("child_id"))
+        link = ws.save(link.observe(links, F.count("*").alias("n")), "links")
         member = link.withColumnRenamed("child_id", "node_id").join(level, "node_id")
-        texts = summaries(member.select("parent_id", "node_id", "text"), config.summary_tokens)
+        said = member.select("parent_id", "node_id", "text")
+        texts = told(said, config.max_tokens, plugins.summariser, plugins.tokenizer) if plugins.summariser else summaries(said, config.summary_tokens)
         level = means(member.select("parent_id", "embedding")).join(texts, "parent_id", "left")
-        level = ws.save(level.select(F.col("parent_id").alias("node_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "embedding"), f"layer-{layer}")
+        level = level.select(F.col("parent_id").alias("node_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "embedding")
+        if plugins.embedder:
+            # written first, as an Arrow UDF would else run anew in each branch
+            level = ws.save(level, f"told-{layer}").withColumn("new", plugins.embedder(F.col("text")).cast("array<double>"))
+            level = level.withColumn("embedding", F.when(usable(F.col("new")), F.col("new")).otherwise(F.col("embedding"))).drop("new")
+        level = ws.save(level.observe(whole, F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")), f"layer-{layer}")
+        if plugins.progress:
+            plugins.progress(Progress(layer, whole.get["n"], whole.get["tokens"] or 0, links.get["n"], time.time() - began))
         all_, edges = all_.unionByName(level.withColumn("layer", F.lit(layer))), edges.unionByName(link)
         n, high, made, built = parents, high + parents, made + parents, layer
     return Tree(all_.select("node_id", "layer", "text", "n_tokens", "embedding"), edges), BuildMetrics(time.time() - began, total, made, built)
+
+
+def from_documents(docs: DataFrame, config: TreeConfig = TreeConfig(), chunking: Chunking = Chunking(), plugins: Plugins = Plugins()) -> tuple[Tree, BuildMetrics]:
+    """The tree over whole documents (doc_id, text): chunks, their vectors, leaves in order of document and place, layers.
+
+    Without an embedder, vectors are letter shares.
+    """
+    ws = Scratch(docs.sparkSession, "leaves")
+    embed = plugins.embedder or T.letter_vector
+    cut = ws.save(exploded(chunks(docs.select("doc_id", "text"), chunking, count=plugins.tokenizer), "doc_id"), "chunks")
+    vectors = ws.save(cut.withColumn("embedding", embed(F.col("text"))), "vectors")
+    return build(ws.save(leaves(vectors, "doc_id", "pos"), "leaves"), config, plugins)
