@@ -3,14 +3,17 @@
 A text is cut into pieces at line breaks and sentence ends, each normalised (A-Z lower-cased, runs
 of other characters than a-z and 0-9 as one space). A known licence sentence is a run of whole
 pieces that reads as the sentence, however it is wrapped, commented, cut after an abbreviation or
-numbered as an item of a list; longer sentences come first. Every other piece is a sentence of its
+numbered as an item of a list. From each piece on the first three words are looked up, which gives the
+lengths of the sentences that begin so, and then the words of each such length; the longest sentence
+counts, and what begins within it doesn't. Every other piece is a sentence of its
 own, so a notice on one line is one. The sequence
 of identifiers that results, 0 for unknown sentences, is matched against licence rules in
 their order: a rule is a run of identifiers; what one rule has matched, later rules don't
 see, so longer rules stand before those they contain.
 
-The catalogue is part of the program, not of the data: it is a literal map in the plan, and
-the scan is one projection without a shuffle; a very frequent licence line costs nothing extra.
+The catalogue is part of the program, not of the data: it is a literal hash table in the plan, and
+the scan is one projection without a shuffle, whose cost doesn't grow with the number of sentences;
+a very frequent licence line costs nothing extra.
 
 Cases: a null or empty text has no sentences and no licences; a sentence that repeats is
 matched each time; a document of any length is one row; rows with one doc_id are scanned
@@ -19,6 +22,8 @@ one by one; extra columns stay.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,22 +189,97 @@ def normalised(s: str) -> str:
 
 
 #: The number or letter of a list's item may stand before a sentence, in its piece or in one of its own.
-ITEM = "(?:(?:[0-9]{1,2}|[a-z])[ |])?"
+ITEM = "^(?:[0-9]{1,2}|[a-z]) "
+#: Words that a sentence is first looked up by.
+HEAD = 3
+#: Pieces whose runs are settled one after another before they join those of earlier blocks.
+BLOCK = 64
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _lookup(book: dict[str, Column], kind: str):
+    """A hash table as a literal: keys lie in buckets by CRC-32, so a lookup costs the same whatever the number of keys."""
+    n = 1 << max(4, (2 * len(book)).bit_length())
+    cells: list[list] = [[] for _ in range(n)]
+    for key, value in book.items():
+        cells[crc32(key.encode()) % n].append(F.struct(F.lit(key).alias("key"), value.alias("value")))
+    none = F.array().cast(f"array<struct<key:string,value:{kind}>>")
+    table = F.array(*(F.array(*c) if c else none for c in cells))
+    return lambda key: F.get(F.filter(F.get(table, (F.crc32(key) % n).cast("int")), lambda e: e["key"] == key), F.lit(0))["value"]
+
+
+def _longest_runs(pieces: Column, known: dict[str, int]) -> Column:
+    """For each piece (size, id, pieces) of the longest sentence that reads from there as whole pieces, null if none does."""
+    lengths: dict[str, set[int]] = {}
+    for x in known:
+        lengths.setdefault(" ".join(x.split(" ")[:HEAD]), set()).add(x.count(" ") + 1)
+    sizes = _lookup({x: F.array(*map(F.lit, sorted(n))) for x, n in lengths.items()}, "array<int>")
+    identifier = _lookup({x: F.lit(i) for x, i in known.items()}, "int")
+    heads = sorted({x.count(" ") + 1 for x in lengths})
+    no_sizes, nothing = F.array().cast("array<int>"), F.lit(None).cast("struct<size:int,id:int,pieces:int>")
+
+    def from_piece(_, k):
+        joined = lambda n: F.concat_ws(" ", F.slice(pieces, k + 1, n))
+
+        def run(skip, n):
+            def known_run(words):
+                ends = F.transform(F.sequence(F.lit(1), n + 1), lambda m: F.length(joined(m)))
+                size = F.array_position(ends, skip + F.length(words)).cast("int")
+                found = lambda i: F.when(i.isNotNull() & (size > 0), F.struct(F.length(words).alias("size"), i.alias("id"), size.alias("pieces"))).otherwise(nothing)
+                return _let(identifier(words), found)
+
+            return _let(F.call_function("substring_index", F.substr(joined(n + 1), skip + 1), F.lit(" "), n), known_run)
+
+        def tried(start):
+            def after(skip):
+                rest = F.substr(start, skip + 1)
+                tries = [F.coalesce(_let(F.substring_index(rest, " ", h), sizes), no_sizes) for h in heads]
+                return F.transform(F.concat(*tries), lambda n: run(skip, n))
+
+            return F.array_max(F.flatten(F.transform(F.array_distinct(F.array(F.lit(0), F.length(F.regexp_extract(start, ITEM, 0)))), after)))
+
+        return _let(joined(HEAD + 1), tried)
+
+    return F.transform(pieces, from_piece)
+
+
+def _settled(found: Column) -> Column:
+    """Identifiers from the first piece on: a run hides what begins within it; a piece without a run is 0."""
+    runs = F.transform(found, lambda r, k: F.struct(k.alias("at"), F.coalesce(r["id"], F.lit(0)).alias("id"), F.coalesce(r["pieces"], F.lit(1)).alias("pieces")))
+
+    def one(state, r):
+        free = r["at"] >= state["free"]
+        return F.struct(
+            F.when(free, r["at"] + r["pieces"]).otherwise(state["free"]).alias("free"),
+            F.when(free, F.concat(state["ids"], F.array(r["id"]))).otherwise(state["ids"]).alias("ids"),
+        )
+
+    def block(runs, state, at):
+        start = F.struct(state["free"].alias("free"), F.array().cast("array<int>").alias("ids"))
+        grown = lambda s: F.struct(s["free"].alias("free"), F.concat(state["ids"], F.array(s["ids"])).alias("ids"))
+        return _let(F.aggregate(F.slice(runs, at + 1, BLOCK), start, one), grown)
+
+    begin = F.struct(F.lit(0).alias("free"), F.array().cast("array<array<int>>").alias("ids"))
+    return _let(runs, lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 1, F.lit(BLOCK)), begin, lambda s, at: block(r, s, at), lambda s: F.flatten(s["ids"])))
 
 
 def sentence_ids(text: Column, sentences: dict[int, str]) -> Column:
     """Array of identifiers of the sentences that hold a letter or digit, 0 for unknown ones."""
+    known = {x: i for i, x in reversed([(i, normalised(s)) for i, s in sentences.items()]) if x}
     cut = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK, " "), BREAK, MARK)
     plain = F.regexp_replace(F.translate(cut, UPPER, LOWER), f"[^a-z0-9{MARK}]+", " ")
-    pieces = F.concat(F.lit("|"), F.btrim(F.regexp_replace(plain, f" ?{MARK}[ {MARK}]*", "|"), F.lit(" |")), F.lit("|"))
-    known = sorted(((normalised(x), i) for i, x in sentences.items()), key=lambda k: -len(k[0]))
-    book = F.array(*(F.struct(F.lit(f" {x} ").alias("words"), F.lit(rf"\|{ITEM}{x.replace(' ', '[ |]')}(?=\|)").alias("run"), F.lit(f"|<{i}>").alias("id")) for x, i in known))
-
-    # few texts hold a sentence's words, so few patterns are tried; pieces and words are computed once
-    held = F.transform(F.array(pieces), lambda p: F.struct(p.alias("pieces"), F.translate(p, "|", " ").alias("words")))
-    tried = lambda t: F.aggregate(F.filter(book, lambda s: F.contains(t["words"], s["words"])), t["pieces"], lambda now, s: F.regexp_replace(now, s["run"], s["id"]))
-    found = F.get(F.transform(held, tried), F.lit(0))
-    return F.transform(F.filter(F.split(found, r"\|"), lambda p: p != ""), lambda p: F.when(p.startswith("<"), F.substring_index(F.substring(p, 2, 20), ">", 1).cast("int")).otherwise(0))
+    whole = F.filter(F.split(F.regexp_replace(plain, f" ?{MARK}[ {MARK}]*", "|"), r"\|"), lambda p: F.btrim(p) != "")
+    # a longer piece is part of no sentence, and stays longer than any
+    pieces = F.transform(whole, lambda p: F.substring(F.btrim(p), 1, max(map(len, known), default=0) + 5))
+    if not known:
+        return F.transform(pieces, lambda p: F.lit(0))
+    unknown = lambda found: F.array_repeat(F.lit(0), F.size(found))
+    runs = lambda p: _let(_longest_runs(p, known), lambda found: F.when(F.exists(found, lambda r: r.isNotNull()), _settled(found)).otherwise(unknown(found)))
+    return _let(pieces, runs)
 
 
 def scan(docs: DataFrame, text_col: str = "text", sentences: dict[int, str] | None = None, rules: list | None = None) -> DataFrame:
