@@ -7,8 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Files of a scratch table for each core: as many waves of tasks. Partitions that share a task are worked off one by one,
-#: so memory doesn't grow with it; raise it where a fourth of a core's share of the input is too much work to lose with a task.
+#: Files of a small scratch table for each core: as many waves of tasks. Larger ones have a file for each ``spark.sql.files.maxPartitionBytes`` that the plan reads.
 FILES = 4
 
 
@@ -23,6 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def most_files(df: DataFrame) -> int:
+    """Files that a table of this plan may have: ``FILES`` a core, more if what it reads is cut into more by bytes."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    by_bytes = read // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() + 1
+    return min(2**31 - 1, max(FILES * max(1, spark.sparkContext.defaultParallelism), by_bytes))
+
+
 class Scratch:
     """Tables written as Parquet, so that losing an executor loses nothing and lineage ends there."""
 
@@ -34,9 +42,9 @@ class Scratch:
         return f"{self.base}/{self.n:03d}-{name}"
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Writes a table in at most ``FILES`` files for each core, as many small files cost more than they hold."""
+        """Writes a table in at most ``most_files`` files, as many small files cost more than they hold."""
         path = self.path(name)
-        df.coalesce(FILES * max(1, self.spark.sparkContext.defaultParallelism)).write.parquet(path)
+        df.coalesce(most_files(df)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._path = path
         return out
