@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from treeloom.functions import embedding as E
 from treeloom.functions import text as T
 from treeloom.operators import chunking as C
 from treeloom.operators import retriever as V
+from treeloom.sources.embedding_store import EmbeddingStore
+from treeloom.sources.scratch import shared_folder
 
 
 def _docs(spark, sf):
@@ -189,6 +194,19 @@ def cached_batch(spark, sf):
     return v.select("doc_id", "cached", *(F.round(F.get("vector", F.lit(i)), 6).alias(f"v_{c}") for i, c in enumerate(T.LETTERS)))
 
 
+def stored_batch(spark, sf):
+    """Vectors of all texts by a store in buckets: those of labelled documents are 30 days old and unread, toxic ones' of today; the others are made."""
+    d, labels = _docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    today = dt.date(2024, 3, 31)
+    name = f"stored_batch_{uuid.uuid4().hex}"
+    store = EmbeddingStore(spark, name, f"{shared_folder(spark)}/{name}")
+    for rows, day in ((labels, today - dt.timedelta(days=store.ttl)), (labels.where("toxic = 1"), today)):
+        texts = d.join(rows.select("doc_id"), "doc_id", "left_semi").select(E.cache_key(F.col("text")).alias("cache_key"), "text").dropDuplicates(["cache_key"])
+        store.add(texts.select("cache_key", T.letter_vector(F.col("text")).alias("vector")), day)
+    v = store.vectors(d, T.letter_vector, today)
+    return v.select("doc_id", "cached", *(F.round(F.get("vector", F.lit(i)), 6).alias(f"v_{c}") for i, c in enumerate(T.LETTERS)))
+
+
 def request_stats(spark, sf):
     """Statistics of embedding requests, here the events: views come from the cache, values are their sizes."""
     e = spark.read.parquet(f"{sf}/events.parquet").select((F.col("event_type") == "view").alias("cache_hit"), F.col("value").alias("batch_size"), (F.col("value") / 1000).alias("seconds"))
@@ -207,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_count, doc_type, markdown_type, content_profile, sentence_split, markdown_sections, greedy_chunks, semantic_boundaries, chunk_documents, chunk_markdown, chunk_quality, document_quality, overlap_chunks, legacy_chunks,
-        input_sizing, context_assembly, content_dedupe, dedupe_stats, combined_context, query_analysis, adapt_params, extractive_answer, cache_key, prefixed_texts, model_vectors, cached_batch, request_stats, budget_prefix,
+        input_sizing, context_assembly, content_dedupe, dedupe_stats, combined_context, query_analysis, adapt_params, extractive_answer, cache_key, prefixed_texts, model_vectors, cached_batch, stored_batch, request_stats, budget_prefix,
     )
 }
 
@@ -269,6 +287,7 @@ _R = "r AS (SELECT source AS batch, doc_id AS pos, 'q' || doc_id AS query, text
 _QA = r"SELECT *, (n_words * (1 + len(regexp_extract_all(query, '[,;]'))))::BIGINT AS complexity FROM (SELECT conv_id, turn, text AS query, length(text)::BIGINT AS length, len(w)::BIGINT AS n_words, round(coalesce(list_sum([length(x) FOR x IN w])::DOUBLE / greatest(len(w), 1), 0), 6) AS mean_word, regexp_matches(lower(text), 'what|how|why|when|where|who') AS has_questions, regexp_matches(lower(text), 'specific|detail|exactly|precise') AS has_specifics FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM conversations WHERE role = 'user'))"
 _WORDS = _Sql(r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\p{L}\p{N}]+'), lambda w: w <> ''))")
 _KNOWN = "(SELECT coalesce(text, '') FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"
+_KNOWN_TODAY = "(SELECT coalesce(text, '') FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
 
 ORACLES = {
     "token_count": f"SELECT doc_id, {_N.format('text')}::BIGINT AS n_tokens FROM documents",
@@ -304,6 +323,7 @@ SELECT doc_id, fallback, pos, c.text AS text, c.n_tokens AS n_tokens FROM (SELEC
     "prefixed_texts": "SELECT conv_id, turn, md5(CASE WHEN role = 'user' THEN 'query: ' || text WHEN starts_with(text, 'query') THEN text ELSE 'passage: ' || text END) AS prepared FROM conversations",
     "model_vectors": f"SELECT doc_id, round({_VEC.format('text')}[1], 6) AS letters, length(text)::DOUBLE AS length FROM documents",
     "cached_batch": f"SELECT doc_id, coalesce(text, '') IN {_KNOWN} AS cached, " + ", ".join(f"round((length(lower(text)) - length(replace(lower(text), '{c}', '')))::DOUBLE / greatest(length(lower(text)), 1), 6) AS v_{c}" for c in T.LETTERS) + " FROM documents",
+    "stored_batch": f"SELECT doc_id, coalesce(text, '') IN {_KNOWN_TODAY} AS cached, " + ", ".join(f"round((length(lower(text)) - length(replace(lower(text), '{c}', '')))::DOUBLE / greatest(length(lower(text)), 1), 6) AS v_{c}" for c in T.LETTERS) + " FROM documents",
     "request_stats": "SELECT count(*)::BIGINT AS total, round((count(*) FILTER (event_type = 'view'))::DOUBLE / count(*), 6) AS hit_rate, round(sum(value / 1000) / count(*), 6) AS avg_time, round((count(*) FILTER (value > 1))::DOUBLE / count(*), 6) AS batch_share FROM events",
     "budget_prefix": f"SELECT * FROM (SELECT source, doc_id, (sum({_N.format('text')}) OVER (PARTITION BY source ORDER BY doc_id))::BIGINT AS upto FROM documents WHERE {_N.format('text')} > 0) WHERE upto <= 3500",
 }
