@@ -6,33 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.sources.scratch import Scratch
+from treeloom.sources.scratch import Scratch, bounded_batches  # noqa: F401
 
 #: Whitespace of the contracts, ``[\x20\x09-\x0D]``.
 WS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows and bytes of an Arrow batch that goes to a Python task. Spark's own bounds (10,000 rows, 2 GB) hold any number of long texts.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Sets the session's bounds of an Arrow batch, unless the user has set rows of their own.
-
-    Plans that an operator returns run later, so the setting stays with the session.
-    """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 class Workspace(Scratch):
-    """Scratch tables of an operator; Arrow batches of the session are bounded."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        super().__init__(spark, name)
-        bounded_batches(spark)
+    """Scratch tables of an operator."""
 
 
 def join_by_key(big: DataFrame, small: DataFrame, key: str, freq: str, least: int = 2000, share: int = 1000) -> DataFrame:
