@@ -119,21 +119,45 @@ def _met(queries: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
     return n.join(q, ["dim", "kind", "part"]).sortWithinPartitions("dim", "kind", "q_name", "part").select("ids", "data", "q_name", "q_ids", "q_data")
 
 
+def _plain(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Plain distances from one product of matrices; those so short that the product's error shows are taken from differences."""
+    qq, xx = (q * q).sum(1), (x * x).sum(1)
+    d = np.column_stack([q, qq, np.ones(len(q))]) @ np.column_stack([-2 * x, np.ones(len(x)), xx]).T
+    near = np.flatnonzero(d <= 1e-9 * (qq.max(initial=0) + xx.max(initial=0)))
+    for at in range(0, len(near), 8192):
+        row, col = np.divmod(near[at : at + 8192], len(x))
+        gap = q[row] - x[col]
+        d[row, col] = np.einsum("ij,ij->i", gap, gap)
+    return np.sqrt(d, out=d)
+
+
 def _label_sums(batches):
-    total: dict = {}
+    """For each block of queries that a task meets, sums and numbers by label; only one block's are held."""
+    now, total = None, {}
+
+    def out():
+        rows = [(now[1], np.full(len(now[1]), label), s, np.full(len(s), n)) for label, (s, n) in total.items()]
+        total.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["row", "label", "s", "n"])
+
     for batch in batches:
         for i in range(batch.num_rows):
             labels = np.frombuffer(batch["ids"][i].as_buffer(), np.int64)
             q_ids = np.frombuffer(batch["q_ids"][i].as_buffer(), np.int64)
             x, q = (np.frombuffer(batch[c][i].as_buffer(), np.float64).reshape(n, -1) for c, n in (("data", len(labels)), ("q_data", len(q_ids))))
-            d = _distances(q, x, "l2")
-            for label in np.unique(labels).tolist():
-                own = labels == label
-                s, n = total.get((batch["q_name"][i].as_py(), label), (0.0, 0))[:2]
-                total[batch["q_name"][i].as_py(), label] = s + d[:, own].sum(1), n + int(own.sum()), q_ids.copy()
-    for (_, label), (s, n, ids) in total.items():
-        k = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(k, label)), pa.array(s), pa.array(np.full(k, n))], names=["row", "label", "s", "n"])
+            name = batch["q_name"][i].as_py(), x.shape[1]
+            if now is None or now[0] != name:
+                if total:
+                    yield out()
+                now = name, q_ids.copy()
+            order = np.argsort(labels, kind="stable")
+            own, starts, counts = np.unique(labels[order], return_index=True, return_counts=True)
+            sums = np.add.reduceat(_plain(q, x[order]), starts, axis=1)
+            for label, s, n in zip(own.tolist(), sums.T, counts.tolist()):
+                held = total.get(label, (0.0, 0))
+                total[label] = held[0] + s, held[1] + n
+    if total:
+        yield out()
 
 
 def label_distances(points: DataFrame, block: int = BLOCK) -> DataFrame:
