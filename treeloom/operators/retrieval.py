@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.functions.vector import distance, usable
+from treeloom.functions.vector import usable
 from treeloom.sources.scratch import bounded_batches
 
 METRICS = ("cosine", "l1", "l2", "linf", "inner")
 #: Vectors of a block.
 BLOCK = 2048
+#: Tasks that pack the vectors of one kind.
+SALTS = 8
 
 
 def _blocks(block: int):
@@ -39,13 +41,22 @@ def _blocks(block: int):
             return pa.RecordBatch.from_arrays(columns, names=["dim", "kind", "name", "ids", "data"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keys = np.stack([np.diff(batch["vec"].offsets.to_numpy()), batch["kind"].to_numpy()], 1)
-            for key in map(tuple, np.unique(keys, axis=0).tolist()):
-                own = batch.filter(pa.array((keys == key).all(1)))
+            order = np.lexsort(keys.T)
+            keys, batch = keys[order], batch.take(pa.array(order))
+            starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+                key, own = tuple(keys[at].tolist()), batch.slice(at, end - at)
                 x = own["vec"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, key[0])
                 held.setdefault(key, []).append((own["id"].to_numpy(), x))
                 if sum(len(i) for i, _ in held[key]) >= block:
                     yield out(key)
+            # of many kinds those that come no more: where rows are ordered by kind, all but the last
+            if len(held) > 1 and sum(len(i) for parts in held.values() for i, _ in parts) >= 8 * block:
+                for key in [k for k in held if k[1] != int(keys[-1, 1])]:
+                    yield out(key)
         for key in list(held):
             yield out(key)
 
@@ -166,18 +177,26 @@ def label_distances(points: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.mapInArrow(_label_sums, "row long, label long, s double, n long").groupBy("row", "label").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
-def nearest(queries: DataFrame, nodes: DataFrame, k: int = 10, metric: str = "cosine", block: int = BLOCK, by: str | None = None) -> DataFrame:
-    """(query_id, rank, node_id, d, far) of queries (query_id, q) among nodes (node_id, embedding); far is the query's largest distance.
-
-    With ``by``, a column of both, only nodes of the query's own value (by its 64-bit hash) are compared.
-    """
+def _found(queries: DataFrame, nodes: DataFrame, k: int, metric: str, block: int, by: str | None) -> DataFrame:
+    """(query_id, node_id, d, far): the k nearest of each query in each task, for each of its values of ``by``."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     kind = (F.xxhash64(by) if by else F.lit(0).cast("long")).alias("kind")
     fine = lambda df, i, v: df.select(F.col(i).cast("long").alias("id"), kind, F.col(v).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
     q = fine(queries, "query_id", "q").groupBy("id", "kind").agg(F.min("vec").alias("vec"))
-    hits = _met(q, fine(nodes, "node_id", "embedding"), block).mapInArrow(_nearest(k, metric), "query_id long, node_id long, d double, far double")
+    n = fine(nodes, "node_id", "embedding")
+    if by:  # rows of a kind together, so that blocks of many kinds are few; a frequent one in several tasks
+        q, n = (x.repartition("kind", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("kind") for x in (q, n))
+    return _met(q, n, block).mapInArrow(_nearest(k, metric), "query_id long, node_id long, d double, far double")
+
+
+def nearest(queries: DataFrame, nodes: DataFrame, k: int = 10, metric: str = "cosine", block: int = BLOCK, by: str | None = None) -> DataFrame:
+    """(query_id, rank, node_id, d, far) of queries (query_id, q) among nodes (node_id, embedding); far is the query's largest distance.
+
+    With ``by``, a column of both, only nodes of the query's own value (by its 64-bit hash) are compared.
+    """
     own = Window.partitionBy("query_id")
+    hits = _found(queries, nodes, k, metric, block, by)
     hits = hits.withColumn("far", F.max("far").over(own)).withColumn("rank", F.row_number().over(own.orderBy("d", "node_id")))
     return hits.where(F.col("rank") <= k).select("query_id", "rank", "node_id", "d", "far")
 
@@ -219,11 +238,13 @@ def beam(queries: DataFrame, top: DataFrame, layers: list[DataFrame], edges: Dat
     found = nearest(queries, top, k).select("query_id", F.lit(len(layers)).alias("layer"), "rank", "node_id", "d")
     hits = found
     for depth, nodes in enumerate(layers):
-        reach = hits.join(edges, F.col("node_id") == F.col("parent_id")).select("query_id", F.col("child_id").alias("node_id")).distinct()
-        pool = reach.join(nodes.where(usable(F.col("embedding"))), "node_id").join(queries.where(usable(F.col("q"))), "query_id")
-        pool = pool.withColumn("d", F.round(distance(F.col("q"), F.col("embedding"), "cosine"), 9)).where("d IS NOT NULL AND query_id <> node_id")
+        reach = hits.select("query_id", F.col("node_id").alias("parent_id"))
+        below = edges.join(reach.select("parent_id").distinct(), "parent_id", "left_semi").select("parent_id", F.col("child_id").alias("node_id")).distinct()
+        # blocks of a parent's queries meet blocks of its children; the k nearest of all are among the k nearest of each parent
+        near = _found(reach.join(queries, "query_id"), below.join(nodes, "node_id"), k, "cosine", BLOCK, "parent_id")
+        near = near.groupBy("query_id", "node_id").agg(F.min("d").alias("d"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "node_id"))
-        hits = pool.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.lit(len(layers) - 1 - depth).alias("layer"), "rank", "node_id", "d")
+        hits = near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.lit(len(layers) - 1 - depth).alias("layer"), "rank", "node_id", "d")
         found = found.unionByName(hits)
     return found
 
