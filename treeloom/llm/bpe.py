@@ -83,8 +83,12 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in f if line.strip())]
 
 
+#: Bytes of a pre-token up to which looking through all pairs beats the heap; a rank above all.
+SHORT, NONE = 64, 1 << 62
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary; pre-tokens seen lately are remembered, up to ``remember``."""
+    """Encoder and decoder of one vocabulary; pre-tokens seen lately are remembered: the last ``remember``, and those asked for among as many before."""
 
     def __init__(self, entries: list[tuple[bytes, int]], pattern: str, remember: int = 100_000):
         self.entries, self.pattern, self.remember = entries, pattern, remember
@@ -92,7 +96,7 @@ class Codec:
         self.ready = False
 
     def __getstate__(self):
-        return {**self.__dict__, "ready": False, "cache": None, "ranks": None, "bytes_of": None, "text_of": None, "split": None}
+        return {**self.__dict__, "ready": False, "cache": None, "older": None, "ranks": None, "bytes_of": None, "text_of": None, "split": None}
 
     def start(self) -> "Codec":
         if not self.ready:
@@ -100,6 +104,7 @@ class Codec:
             self.bytes_of = {r: k for k, r in self.entries}
             self.text_of = {r: str(r) for _, r in self.entries}
             self.cache: dict[str, tuple[int, ...]] = {}
+            self.older: dict[str, tuple[int, ...]] = {}
             self.split = regex.compile(self.pattern)
             self.ready = True
         return self
@@ -108,6 +113,8 @@ class Codec:
         """Ids of a pre-token outside the vocabulary."""
         rank = self.ranks.get
         n = len(piece)
+        if n <= SHORT:
+            return self.merge_short(piece, rank)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the part at i ends where the part after[i] begins
         heap = [(r, i) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
@@ -139,12 +146,27 @@ class Codec:
             i = after[i]
         return tuple(out)
 
+    def merge_short(self, piece: bytes, rank) -> tuple[int, ...]:
+        """The same by looking for the least rank of all pairs each time."""
+        at = list(range(len(piece) + 1))
+        pairs = [rank(piece[i : i + 2], NONE) for i in at[:-2]]
+        while pairs and (r := min(pairs)) != NONE:
+            i = pairs.index(r)
+            del at[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(piece[at[i] : at[i + 2]], NONE)
+            if i:
+                pairs[i - 1] = rank(piece[at[i - 1] : at[i + 1]], NONE)
+        return tuple([rank(piece[a:b]) for a, b in zip(at, at[1:])])
+
     def piece_ids(self, token: str) -> tuple[int, ...]:
-        piece = token.encode()
-        i = self.table.find(piece)
-        out = (self.entries[i][1],) if i >= 0 else self.merge(piece)
+        out = self.cache.get(token) or self.older.get(token)
+        if out is None:
+            piece = token.encode()
+            i = self.table.find(piece)
+            out = (self.entries[i][1],) if i >= 0 else self.merge(piece)
         if len(self.cache) >= self.remember:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
         if len(token) <= 64:
             self.cache[token] = out
         return out
