@@ -1,9 +1,12 @@
 """Calls that arrive in pieces, folded into one row each with state of any kind and event-time timers.
 
-A call's pieces are appended to a list in the state store as they come, in any order. The call
-leaves as soon as it holds as many pieces as it says it has, or once no piece has come for a
-while by the watermark. TTL works by the clock of the machine only, so an event-time timer also
-ends the mark that a complete call leaves behind.
+Pieces are kept in the state store as they come, in any order. A call leaves as soon as it holds as
+many pieces as it says it has, or once no piece has come for a while by the watermark. TTL works by
+the clock of the machine only, so an event-time timer also ends the mark that a complete call leaves behind.
+
+A Python worker pays about the same for each access to the store and for each key, whatever they hold. So calls are dealt by
+a hash to buckets, whose number is fixed: the store has a key for each bucket, the pieces of a batch
+go there in blocks, and a bucket has one timer, that of the first of its calls to end.
 """
 
 from __future__ import annotations
@@ -15,10 +18,17 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-PIECES = "seq long, name string, part string"
-HEAD = "held long, pieces long, until long, closed boolean"
+#: Keys of the state; a checkpoint stays with the number that it began with.
+BUCKETS = 8192
+#: Pieces of a block, and characters after which it ends.
+BLOCK, BLOCK_CHARS = 2000, 1 << 20
+
+PIECES = "call array<string>, seq array<long>, name array<string>, part array<string>"
+HEADS = "call array<string>, held array<long>, pieces array<long>, until array<long>, closed array<boolean>"
 CALL = "call string, name string, arguments string, n_pieces long, outcome string"
 
+_Call = Row("call", "name", "arguments", "n_pieces", "outcome")
+
 
 def _distinct(pieces) -> dict[int, tuple]:
     """The pieces by seq; of several with one seq the greatest by name, then part."""
@@ -29,8 +39,25 @@ def _distinct(pieces) -> dict[int, tuple]:
     return out
 
 
+def _blocks(pieces: dict[str, list]) -> Iterator[tuple]:
+    """The pieces of calls as columns, so many that a block is bounded."""
+    held, chars = [], 0
+    for call, rows in pieces.items():
+        for seq, name, part in rows:
+            held.append((call, seq, name, part))
+            chars += len(part or "")
+            if len(held) >= BLOCK or chars >= BLOCK_CHARS:
+                yield tuple(map(list, zip(*held)))
+                held, chars = [], 0
+    if held:
+        yield tuple(map(list, zip(*held)))
+
+
 class CallFold(StatefulProcessor):
-    """Folds rows (call, seq, name, part, pieces, ms): a batch's pieces of a call go to the state in one step."""
+    """Folds rows (bucket, call, seq, name, part, pieces, ms) of a bucket of calls, each by itself.
+
+    A head is [pieces held, pieces that the call has, when it ends, whether it is complete].
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
@@ -38,76 +65,115 @@ class CallFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.parts = handle.getListState("parts", PIECES)
-        self.head = handle.getValueState("head", HEAD)
+        self.heads = handle.getValueState("heads", HEADS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held, pieces, until, closed = self.head.get() or (0, None, None, False)
-        if until is not None and until <= timerValues.getCurrentWatermarkInMs():
+        now = timerValues.getCurrentWatermarkInMs()
+        heads = self._heads()
+        timer = min((h[2] for h in heads.values()), default=None)
+        kept = None  # stored pieces, once they have been read
+        if timer is not None and timer <= now:
             # over by the watermark, but rows of a batch come before its timers
-            if not closed:
-                yield self._call(key, _distinct(self.parts.get()), "timeout")
-            self.parts.clear()
-            self.handle.deleteTimer(until)
-            held, pieces, until, closed = 0, None, None, False
-        if closed:
-            return
-        new, last = [], None
+            kept = self._kept()
+            yield from self._ended(heads, kept, now)
+        new: dict[str, list] = {}
         for r in rows:
-            new.append((r.seq, r.name, r.part))
-            last = r.ms if last is None else max(last, r.ms)
+            head = heads.get(r.call)
+            if head is None:
+                head = heads[r.call] = [0, None, now + 1, False]
+            elif head[3]:
+                continue
+            new.setdefault(r.call, []).append((r.seq, r.name, r.part))
+            head[0] += 1
+            head[2] = max(head[2], r.ms + self.idle_ms)
             if r.pieces is not None:
-                pieces = r.pieces if pieces is None else max(pieces, r.pieces)
-        if not new:
-            return
-        self.parts.appendList(new)
-        held += len(new)
-        ends = max(last + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
-        if until is None or ends > until:
-            if until is not None:
-                self.handle.deleteTimer(until)
-            self.handle.registerTimer(ends)
-            until = ends
-        if pieces is not None and held >= pieces:
-            whole = _distinct(self.parts.get())
-            if len(whole) >= pieces:
-                self.parts.clear()
-                self.head.update((0, pieces, until, True))
-                yield self._call(key, whole, "complete")
-                return
-            self.parts.put([(seq, p[2], p[1]) for seq, p in whole.items()])
-            held = len(whole)
-        self.head.update((held, pieces, until, False))
+                head[1] = r.pieces if head[1] is None else max(head[1], r.pieces)
+        full = [c for c in new if heads[c][1] is not None and heads[c][0] >= heads[c][1]]
+        if kept is None and any(heads[c][0] > len(new[c]) for c in full):
+            kept = self._kept()
+        for c in full:
+            whole = _distinct((kept or {}).pop(c, []) + new.pop(c))
+            if len(whole) >= heads[c][1]:
+                heads[c][0], heads[c][3] = 0, True
+                yield self._call(c, whole, "complete")
+            else:
+                new[c] = [(seq, p[2], p[1]) for seq, p in whole.items()]
+                heads[c][0] = len(whole)
+        if kept is None:
+            for block in _blocks(new):
+                self.parts.appendList([block])
+        else:
+            for c, pieces in new.items():
+                kept.setdefault(c, []).extend(pieces)
+            self._keep(kept)
+        self._keep_heads(heads, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        head = self.head.get()
-        if head is not None and not head[3]:
-            yield self._call(key, _distinct(self.parts.get()), "timeout")
-        self.parts.clear()
-        self.head.clear()
+        heads, kept = self._heads(), self._kept()
+        yield from self._ended(heads, kept, timerValues.getCurrentWatermarkInMs())
+        self._keep(kept)
+        self._keep_heads(heads, None)  # the timer is gone
 
     def close(self) -> None:
         pass
 
+    def _ended(self, heads: dict, kept: dict, now: int) -> Iterator[Row]:
+        """Takes out the calls that are over, with their pieces."""
+        for c in [c for c, h in heads.items() if h[2] <= now]:
+            pieces = kept.pop(c, [])
+            if not heads.pop(c)[3]:
+                yield self._call(c, _distinct(pieces), "timeout")
+
+    def _heads(self) -> dict[str, list]:
+        state = self.heads.get()
+        return {c: h for c, *h in zip(*state)} if state else {}
+
+    def _kept(self) -> dict[str, list]:
+        out: dict[str, list] = {}
+        for block in self.parts.get():
+            for c, *piece in zip(*block):
+                out.setdefault(c, []).append(piece)
+        return out
+
+    def _keep(self, kept: dict) -> None:
+        self.parts.clear()
+        for block in _blocks(kept):
+            self.parts.appendList([block])
+
+    def _keep_heads(self, heads: dict, timer: int | None) -> None:
+        """``timer`` is the one that is set."""
+        first = min((h[2] for h in heads.values()), default=None)
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is not None and timer != first:
+            self.handle.registerTimer(first)
+        if heads:
+            self.heads.update(tuple(map(list, zip(*((c, *h) for c, h in heads.items())))))
+        else:
+            self.heads.clear()
+
     @staticmethod
-    def _call(key, whole: dict[int, tuple], outcome: str) -> Row:
+    def _call(call: str, whole: dict[int, tuple], outcome: str) -> Row:
         inorder = [whole[s] for s in sorted(whole)]
         names = [p[2] for p in inorder if p[2] is not None]
-        return Row(call=key[0], name=names[-1] if names else None, arguments="".join(p[1] for p in inorder), n_pieces=len(inorder), outcome=outcome)
+        return _Call(call, names[-1] if names else None, "".join(p[1] for p in inorder), len(inorder), outcome)
 
 
-def folded(deltas: DataFrame, idle_s: int = 3600, late: str = "1 hour") -> DataFrame:
+def folded(deltas: DataFrame, idle_s: int = 3600, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """(call, name, arguments, n_pieces, outcome) of a stream of pieces (call, seq, name, part, pieces, ts).
 
     ``pieces`` is the number of pieces of the call, null where a piece doesn't know it. A call is
     ``complete`` when it holds that many, or a ``timeout`` once the watermark is ``idle_s`` past its
     last piece; pieces of a complete call that come until then are left out, later ones are a new
     call. The last name that isn't null wins, parts are joined by seq, a piece sent twice counts
-    once. Pieces without call, seq or ts are left out. A call's pieces fit a task.
+    once. Pieces without call, seq or ts are left out. The pieces held of a bucket of calls fit a task,
+    so raise ``buckets`` for streams that hold hundreds of millions of calls.
     """
+    bucket = F.pmod(F.xxhash64("call"), F.lit(buckets)).alias("bucket")
     d = deltas.where("call IS NOT NULL AND seq IS NOT NULL AND ts IS NOT NULL").select(
         F.col("call").cast("string").alias("call"), F.col("seq").cast("long").alias("seq"), "name", "part", F.col("pieces").cast("long").alias("pieces"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("ts").cast("timestamp").alias("ts")
     )
-    return d.withWatermark("ts", late).groupBy("call").transformWithState(CallFold(idle_s * 1000), CALL, "append", "EventTime")
+    return d.withWatermark("ts", late).select(bucket, "*").groupBy("bucket").transformWithState(CallFold(idle_s * 1000), CALL, "append", "EventTime")
 
 
 @contextmanager
