@@ -1,5 +1,6 @@
 import shutil
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.test_activity import placed
@@ -52,3 +53,38 @@ def test_restart_gives_the_same_rows(spark, tmp_path):
         last.unlink()
         (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
         assert [tuple(r) for r in _rows(W.drain(K.folded(_pieces(spark, tmp_path / "some")), "calls", at=at))] == WANT
+
+
+def test_pieces_of_a_bucket_come_as_few_rows(monkeypatch):
+    rows = [(i % 3, f"c{i % 30}", i, None if i % 7 else "n", "é" * (i % 5) if i % 11 else None, None, i) for i in range(4000)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("bucket", "call", "seq", "name", "part", "pieces", "ms"), r)) for r in rows], pa.schema([("bucket", pa.int32()), *K._PIECES]))
+    want = sorted(r[1:] for r in rows)
+    for limits, most in (({}, 3), ({"GATHER": 1000}, 12), ({"BLOCK": 100}, 42), ({"BLOCK_CHARS": 50}, 4000)):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(K, name, value)
+            out = [r for b in K._packed(batch.slice(at, 500) for at in range(0, 4000, 500)) for r in b.to_pylist()]
+        assert 3 <= len(out) <= most
+        back = [(r["bucket"], K._table([r["data"]], K._PIECES)) for r in out]
+        assert all(int(c[1:]) % 3 == bucket for bucket, t in back for c in t["call"].to_pylist())
+        assert sorted((tuple(r.values()) for _, t in back for r in t.to_pylist()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+def test_calls_of_one_bucket(spark, tmp_path):
+    """Many calls of one bucket over batches: each whole, though some are sent twice, end early or never end."""
+    pieces = [(f"c{c}", s, f"n{s}" if s < 3 else None, f"<{c}.{s}>", 9 if c % 2 else None, "2024-01-01 00:00:00") for c in range(60) for s in range(9)]
+    again = [(*p[:3], "", *p[4:]) for p in pieces[::4]]
+    placed(spark, tmp_path, [spark.createDataFrame(b, PIECE) for b in (pieces[::2] + again, pieces[1::2], [("z", 0, None, "z", None, "2024-01-02 00:00:00")])], "all")
+    with K.state_store(spark):
+        out = [tuple(r) for r in _rows(W.drain(K.folded(_pieces(spark, tmp_path / "all"), buckets=1), "calls"))]
+    assert out == sorted((f"c{c}", "n2", "".join(f"<{c}.{s}>" for s in range(9)), 9, "complete" if c % 2 else "timeout") for c in range(60))
+
+
+def test_pieces_behind_the_watermark(spark, tmp_path):
+    """One of a call that is held counts; one whose call is over by the watermark is left out."""
+    at = lambda call, seq, t: [(call, seq, "n", str(seq), None, t)]
+    batches = [at("a", 0, "2024-01-01 00:00:00"), at("z", 0, "2024-01-01 03:00:00"), at("z", 1, "2024-01-01 03:01:00"), at("a", 1, "2024-01-01 00:30:00"), at("z", 2, "2024-01-04 00:00:00"), at("z", 3, "2024-01-04 00:00:00"), at("q", 0, "2024-01-01 00:00:00"), at("z", 4, "2024-01-08 00:00:00")]
+    placed(spark, tmp_path, [spark.createDataFrame(b, PIECE) for b in batches], "all")
+    with K.state_store(spark):
+        out = [tuple(r) for r in _rows(W.drain(K.folded(_pieces(spark, tmp_path / "all"), 86400), "calls"))]
+    assert [r for r in out if r[0] != "z"] == [("a", "n", "01", 2, "timeout")]
