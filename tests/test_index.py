@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +79,41 @@ def test_documents_and_edges(spark, tmp_path):
         I.load(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError):
         I.build(_table(spark), str(tmp_path / "c"), "l1")
+
+
+def _peak(step, batch):
+    """MB that a step holds at most over a batch, and what it gives."""
+    tracemalloc.start()
+    out = [b for b in step(iter([batch]))]
+    top = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return top, out
+
+
+@pytest.mark.parametrize("metric", I.METRICS)
+def test_memory_does_not_grow_with_cells(metric):
+    rng = np.random.default_rng(3)
+    x, centres = rng.normal(size=(2000, 8)), rng.normal(size=(I.CELLS, 8))
+    first = [np.array([i % 9, 9 + i % 5], np.int32) for i in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(2000)), "vec": list(x), "kth": np.full(2000, -50.0 if metric == "inner" else 0.02), "cells": pa.array(first, pa.list_(pa.int32()))})
+    far = rng.uniform(0.5, 1, I.CELLS)
+    for step in (I._placed(centres, metric), I._nearest_cells(centres, metric, 8), I._other_cells(centres, far / 2, far, metric)):
+        top, out = _peak(step, batch)
+        assert top < 40 and [i for b in out for i in b["id"].to_pylist()] == list(range(2000))
+    low = I._least(I._gaps(x, centres), far / 2, far, x @ centres.T, np.linalg.norm(x, axis=1)[:, None], metric)
+    want = [sorted(set(np.flatnonzero(r <= k + I.SLACK).tolist()) - set(c.tolist())) for r, k, c in zip(low, batch["kth"].to_numpy(), first)]
+    assert [c for b in out for c in b["cells"].to_pylist()] == want
+
+
+def test_hits_of_many_queries_leave_as_arrays():
+    rng = np.random.default_rng(4)
+    q, x = rng.normal(size=(20_000, 2)), rng.normal(size=(50, 2))
+    at = range(0, 20_000, 250)  # blocks of queries
+    row = {"dim": [2] * 80, "ids": [np.arange(50).tobytes()] * 80, "data": [x.tobytes()] * 80, "near": [0.0] * 80, "far": [9.0] * 80, "n": [50] * 80, "cell": [0] * 80}
+    row |= {"q_ids": [np.arange(100 + i, 350 + i).tobytes() for i in at], "q_kth": [np.full(250, np.inf).tobytes()] * 80, "q_data": [q[i : i + 250].tobytes() for i in at]}
+    top, out = _peak(I._searched(np.zeros((1, 2)), 10, "inner"), pa.RecordBatch.from_pydict(row))
+    d = np.round(-(q @ x.T), 9)
+    want = np.argsort(d, axis=1, kind="stable")[:, :10]
+    got = {c: np.concatenate([b[c].to_numpy() for b in out]).reshape(-1, 10) for c in ("query_id", "node_id", "d")}
+    assert (got["query_id"][:, 0] == np.arange(100, 20_100)).all() and (got["node_id"] == want).all() and (got["d"] == np.take_along_axis(d, want, 1)).all()
+    assert top < 22

@@ -16,7 +16,7 @@ digits) go to the smaller node_id; nodes that share an id are a row each.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +37,8 @@ METRICS = ("cosine", "l2", "inner")
 CELLS, CENTRE_BYTES, SAMPLE = 4096, 64 << 20, 64
 #: Vectors of a block, and of the part of a cell that one task packs.
 BLOCK, PART = 1024, 100_000
+#: Numbers of a matrix of rows by centres that a Python task holds at a time, however many centres there are.
+MATRIX = 1 << 18
 SEED, SLACK = 224, 1e-8
 
 _CELLS = "dim int, ids binary, data binary, near double, far double, n long, cell int"
@@ -80,12 +82,21 @@ def _rows(batch, name: str) -> np.ndarray:
     return batch[name].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
 
 
+def _parts(batches, centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a matrix of their rows by the centres is bounded."""
+    step = max(1, MATRIX // max(len(centres), 1))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def _placed(centres: np.ndarray, metric: str):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x = _prepared(_rows(batch, "vec"), metric)
-                cell = np.concatenate([_gaps(x[at : at + 512], centres).argmin(1) for at in range(0, len(x), 512)])
+                step = max(1, MATRIX // max(len(centres), 1))
+                cell = np.concatenate([_gaps(x[at : at + step], centres).argmin(1) for at in range(0, len(x), step)])
                 gap = np.sqrt(((x - centres[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array(list(x), pa.list_(pa.float64())), pa.array(cell.astype(np.int32)), pa.array(gap)], names=["id", "vec", "cell", "gap"])
 
@@ -118,12 +129,11 @@ def _nearest_cells(centres: np.ndarray, metric: str, probes: int):
     """The cells that each query asks for first: those of the nearest centres."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = _prepared(_rows(batch, "vec"), metric)
-                key = -(x @ centres.T) if metric == "inner" else _gaps(x, centres)
-                cells = np.argsort(key, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(list(x), pa.list_(pa.float64())), pa.array(list(cells), pa.list_(pa.int32()))], names=["id", "vec", "cells"])
+        for batch in _parts(batches, centres):
+            x = _prepared(_rows(batch, "vec"), metric)
+            key = -(x @ centres.T) if metric == "inner" else _gaps(x, centres)
+            cells = np.argsort(key, axis=1, kind="stable")[:, :probes].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(list(x), pa.list_(pa.float64())), pa.array(list(cells), pa.list_(pa.int32()))], names=["id", "vec", "cells"])
 
     return run
 
@@ -132,15 +142,14 @@ def _other_cells(centres: np.ndarray, near: np.ndarray, far: np.ndarray, metric:
     """The cells beyond a query's first ones that can hold something no farther than ``kth``."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, kth = _rows(batch, "vec"), batch["kth"].to_numpy(zero_copy_only=False)
-                low = _least(_gaps(x, centres), near, far, x @ centres.T, np.linalg.norm(x, axis=1)[:, None], metric)
-                may = (low <= kth[:, None] + SLACK) & np.isfinite(far)[None]
-                for i, cells in enumerate(batch["cells"].to_pylist()):
-                    may[i, cells] = False
-                out = [np.flatnonzero(r).astype(np.int32) for r in may]
-                yield pa.RecordBatch.from_arrays([batch["id"], batch["vec"], batch["kth"], pa.array(out, pa.list_(pa.int32()))], names=["id", "vec", "kth", "cells"])
+        for batch in _parts(batches, centres):
+            x, kth = _rows(batch, "vec"), batch["kth"].to_numpy(zero_copy_only=False)
+            low = _least(_gaps(x, centres), near, far, x @ centres.T, np.linalg.norm(x, axis=1)[:, None], metric)
+            may = (low <= kth[:, None] + SLACK) & np.isfinite(far)[None]
+            for i, cells in enumerate(batch["cells"].to_pylist()):
+                may[i, cells] = False
+            out = [np.flatnonzero(r).astype(np.int32) for r in may]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["vec"], batch["kth"], pa.array(out, pa.list_(pa.int32()))], names=["id", "vec", "kth", "cells"])
 
     return run
 
@@ -176,21 +185,23 @@ def _searched(centres: np.ndarray, k: int, metric: str, held: int = 20_000):
         best: dict[int, tuple] = {}
 
         def out():
-            rows = [(q, n, d) for q, (ds, ns) in best.items() for d, n in zip(ds.tolist(), ns.tolist())]
+            ds, ns = (np.concatenate(c) for c in zip(*best.values()))
+            asked = np.repeat(np.fromiter(best, np.int64, len(best)), [len(d) for d, _ in best.values()])
             best.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "node_id", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ns), pa.array(ds)], names=["query_id", "node_id", "d"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 g = lambda c, i=i: batch[c][i].as_py()
+                b = lambda c, t, i=i: np.frombuffer(batch[c][i].as_buffer(), t)
                 dim, c = g("dim"), centres[g("cell")]
-                ids, q_ids, kth = np.frombuffer(g("ids"), np.int64), np.frombuffer(g("q_ids"), np.int64), np.frombuffer(g("q_kth"), np.float64)
-                q = np.frombuffer(g("q_data"), np.float64).reshape(-1, dim)
+                ids, q_ids, kth = b("ids", np.int64), b("q_ids", np.int64), b("q_kth", np.float64)
+                q = b("q_data", np.float64).reshape(-1, dim)
                 low = _least(_gaps(q, c[None])[:, 0], g("near"), g("far"), q @ c, np.linalg.norm(q, axis=1), metric)
                 take = low <= kth + SLACK
                 if not take.any():
                     continue
-                x = np.frombuffer(g("data"), np.float64).reshape(-1, dim)
+                x = b("data", np.float64).reshape(-1, dim)
                 for query, most, row in zip(q_ids[take].tolist(), kth[take].tolist(), np.round(_distances(q[take], x, metric), 9)):
                     row, names = row[row <= most], ids[row <= most]  # what is farther than the kth so far is none of the k nearest
                     if (names == query).any():
