@@ -1,11 +1,14 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from treeloom.functions.numbering import numbered
+from treeloom.operators import clusters as C
 from treeloom.operators import retrieval as R
 from treeloom.operators import retriever as V
 from treeloom.operators import tree as T
 from treeloom.sources import trees as S
+from treeloom.sources.scratch import Scratch
 
 LEAVES = "node_id long, text string, n_tokens long, embedding array<double>"
 
@@ -118,3 +121,20 @@ def test_answerer_plug_in(spark):
     asked = spark.createDataFrame([("q", "c"), ("r", None)], "question string, context string")
     got = V.answered(asked, lambda q, c: F.concat(q, F.coalesce(c, F.lit("-")))).collect()
     assert [r.answer for r in got] == ["qc", "r-"]
+
+
+def test_parts_of_a_group_keep_its_merges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    spots = [6 * rng.normal(size=4) + 60 * (k // 6) for k in range(12)]
+    x = np.concatenate([s + rng.normal(size=(150, 4)) for s in spots])
+    level = spark.createDataFrame([(i, "a", 50, r.tolist()) for i, r in enumerate(x)], "node_id long, text string, n_tokens long, embedding array<double>")
+    made, fresh = [], C.W.tree_of
+    monkeypatch.setattr(C.W, "tree_of", lambda *a: made.append(1) or fresh(*a))
+    layer = lambda *a: (level.select("node_id", (F.col("node_id") >= 900).cast("int").alias("cluster")), 0.9, None)
+    monkeypatch.setattr(T, "_layer_clusters", layer)
+    monkeypatch.setattr(C.grouped, "__defaults__", (10, 0.1, 0.2, 100, None))
+    config = T.TreeConfig(depth=3)
+    got = {(r.path, r.node_id) for r in T.clustered(level, len(x), config, Scratch(spark, "kept")).collect()}
+    assert len(made) == 1 and len({p for p, _ in got}) > 4
+    monkeypatch.setattr(T, "_within", lambda *a: None)
+    assert got == {(r.path, r.node_id) for r in T.clustered(level, len(x), config, Scratch(spark, "anew")).collect()} and len(made) == 3

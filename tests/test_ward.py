@@ -80,3 +80,42 @@ def test_merges_inside_cells_are_those_of_the_whole(spark, monkeypatch):
     for g, x in groups.items():
         want = {(lo, hi): h for lo, hi, h, _ in W.merges(np.arange(len(x)), np.ones(len(x)), x)}
         assert set(got[g]) == set(want) and all(abs(got[g][k] - want[k]) < 1e-9 * (1 + want[k]) for k in want)
+
+
+def test_nearest_of_many_is_exact():
+    rng = np.random.default_rng(9)
+    # far from zero, near copies and equal gaps, sizes that differ much
+    x = np.concatenate([rng.normal(size=(900, 5)), rng.integers(0, 4, (700, 5)).astype(float)]) * 0.01
+    x = np.unique(np.concatenate([x, x[:600] + 1e-9 * rng.normal(size=(600, 5))]), axis=0) + 37.0
+    x, size, ids = x[W._side_by_side(x)], rng.integers(1, 900, len(x)).astype(float), rng.permutation(len(x)) * 3
+    for part in (np.arange(len(x)), np.flatnonzero(rng.random(len(x)) < 0.2)):
+        got = W._nearest_of_many(ids[part], size[part], x[part], ids, size, x, None)
+        for k, i in enumerate(part.tolist()):
+            cost = W._exact(x[[i] * len(x)], size[[i] * len(x)], x, size)
+            cost[i] = np.inf
+            want = min((c, min(ids[i], ids[j]), max(ids[i], ids[j])) for j, c in enumerate(cost.tolist()))
+            assert (got[0][k], got[1][k], got[2][k]) == want
+    near = W._nearest_of_many(ids, size, x, ids, size, x, None)[0]
+    assert np.isinf(W._nearest_of_many(ids, size, x, ids, size, x, near * 0.99)[0][near > 0]).all()
+
+
+def test_bounds_of_blocks_are_under_all_costs():
+    rng = np.random.default_rng(12)
+    x, size = rng.normal(size=(700, 6)), rng.integers(1, 50, 700).astype(float)
+    one, two = (W._Block(0, c, 0, c, size[s], x[s].astype(np.float32)) for c, s in enumerate((slice(0, 300), slice(300, 700))))
+    W._bounds_between(one, two)
+    costs = W._costs(x[:300], size[:300], x[300:], size[300:])
+    for bound, least in ((one.bound, costs.min(1)), (two.bound, costs.min(0))):
+        assert (bound <= least).all() and (bound > least * 0.999 - 1e-3).all()
+
+
+def test_merges_inside_a_cell_are_a_part_of_all_merges():
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(400, 2))
+    every = {(lo, hi): h for lo, hi, h, _ in W.merges(np.arange(400), np.ones(400), x)}
+    inside = np.flatnonzero(x[:, 0] < 0)
+    outside = np.flatnonzero(x[:, 0] >= 0)
+    bound = W._costs(x[inside], np.ones(len(inside)), x[outside], np.ones(len(outside))).min(1)
+    (lo, hi, height, _), (ids, size, _) = W.merges_inside(inside, np.ones(len(inside)), x[inside], bound)
+    assert all(abs(every[a, b] - h) < 1e-9 for a, b, h in zip(lo.tolist(), hi.tolist(), height.tolist()))
+    assert len(ids) == len(inside) - len(lo) and size.sum() == len(inside) and len(lo) > 120
