@@ -119,3 +119,30 @@ def test_merges_inside_a_cell_are_a_part_of_all_merges():
     (lo, hi, height, _), (ids, size, _) = W.merges_inside(inside, np.ones(len(inside)), x[inside], bound)
     assert all(abs(every[a, b] - h) < 1e-9 for a, b, h in zip(lo.tolist(), hi.tolist(), height.tolist()))
     assert len(ids) == len(inside) - len(lo) and size.sum() == len(inside) and len(lo) > 120
+
+
+def test_rounds_over_parts(spark, monkeypatch):
+    for name, value in (("LEAST", 40), ("BLOCK", 16), ("PARTS", 3), ("CELL", 10_000)):
+        monkeypatch.setattr(W, name, value)
+    # nothing merges inside cells
+    monkeypatch.setattr(W, "_inside_cells", lambda large, sizes, step, seed, ws: (_gone(large, ws), None, 0, step))
+    groups = _groups()
+    got = {}
+    for r in W.tree_of(_frame(spark, {g: groups[g] for g in (1, 2, 3)}), tail=200).collect():
+        got.setdefault(r.g, {})[r.lo, r.hi] = r.height
+    for g in (1, 2):
+        want = {(lo, hi): h for lo, hi, h, _ in W.merges(np.arange(len(groups[g])), np.ones(len(groups[g])), groups[g])}
+        assert set(got[g]) == set(want) and all(abs(got[g][k] - want[k]) < 1e-9 * (1 + want[k]) for k in want)
+    assert len(got[3]) == len(groups[3]) - 1
+
+
+def _gone(large, ws):
+    return ws.save(large.limit(0), "nothing")
+
+
+def test_used_tables_go(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(W, "CELL", 60)
+    monkeypatch.setattr("treeloom.sources.scratch.shared_folder", lambda spark: str(tmp_path))
+    W.tree_of(_frame(spark, {2: _groups()[2]}), tail=80).collect()
+    left = {p.name.split("-")[1] for p in tmp_path.glob("ward-*/*")}
+    assert "tree" in left and not left & {"vectors", "cells", "active", "large", "nearest", "heads"}
